@@ -96,8 +96,7 @@ for _a, _ts in TWINS.items():
         if _own:
             for _c in {_a, *_ts} - {_own}:
                 _BY_SCRIPT[_s][_c] = _own
-#: Per script, a character table that brings twins from other scripts into it.
-INTO = {s: str.maketrans(t) for s, t in _BY_SCRIPT.items()}
+_INTO = {s: str.maketrans(t) for s, t in _BY_SCRIPT.items()}
 _SHAPE = str.maketrans(_TO_LATIN)
 TWIN_CHARS = set(_TO_LATIN) | set(TWINS)
 #: RE2 class of letters outside Latin that have a twin.
@@ -113,6 +112,11 @@ def one_form(text: str) -> str:
     return ud.normalize("NFC", text.replace("\r\n", "\n").replace("\r", "\n").translate(FORMS))
 
 
+def into(text: str, script: str) -> str:
+    """The text with twins of other scripts replaced by those of ``script``, marks kept on them."""
+    return ud.normalize("NFC", ud.normalize("NFD", text).translate(_INTO[script]))
+
+
 def shape(text: str) -> str:
     """One representative of all texts of equal shape, letter by letter: for comparison only."""
     return ud.normalize("NFC", ud.normalize("NFD", text).translate(_SHAPE))

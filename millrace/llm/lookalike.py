@@ -16,6 +16,7 @@ percent, meet the vocabulary by a join on the token; the vocabulary is never gat
 from __future__ import annotations
 
 import re
+import unicodedata as ud
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -30,7 +31,8 @@ from pyspark.sql import types as T
 from millrace.llm import charforms as cf
 from millrace.session import shared_dir
 
-_TOKEN = re.compile(r"[^\W\d_]+")
+#: Letters with the marks that stand on them, which a foreign letter keeps apart from itself.
+_TOKEN = re.compile(r"(?:[^\W\d_][\u0300-\u036f]*)+")
 _SCRIPTS = (cf.LATIN, cf.CYRILLIC, cf.GREEK)
 _NOT_LETTERS = r"[^\p{L}\p{M}]+"
 _SLICE_BYTES = 16 << 20
@@ -60,13 +62,14 @@ def suspects(text: str) -> dict[str, list[str]]:
     context = whole.most_common(1)[0][0] if whole else cf.LATIN
     out = {}
     for t, k in kinds.items():
+        letters = [c for c in ud.normalize("NFD", t) if not ud.combining(c)]
         mixed = len(k) > 1
-        alone = len(k) == 1 and context not in k and all(c in cf.TWIN_CHARS for c in t)
-        if not (mixed or alone) or not any(c in cf.TWIN_CHARS for c in t):
+        alone = len(k) == 1 and context not in k and all(c in cf.TWIN_CHARS for c in letters)
+        if not (mixed or alone) or not any(c in cf.TWIN_CHARS for c in letters):
             continue
         readings = []
         for s in _SCRIPTS:
-            new = t.translate(cf.INTO[s])
+            new = cf.into(t, s)
             if new != t and all(cf.script(c) in (s, cf.OTHER, "") for c in new):
                 readings.append((s != context if mixed else False, -k.get(s, 0), new))
         if alone:
