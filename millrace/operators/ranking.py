@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.session import written
 from millrace.util import range_key
 
 
@@ -30,35 +31,61 @@ def top_overall(df: DataFrame, order: Sequence[Column], n: int, rank: str) -> Da
     return df.orderBy(*order).limit(n).withColumn(rank, F.row_number().over(W.orderBy(*order)))
 
 
-def global_row_number(df: DataFrame, key: str, tie: str, name: str, parts: int | None = None) -> DataFrame:
-    """``df`` with the 1-based place of each row in the order of (key, tie), both numeric, nulls first.
+def _stats(df: DataFrame, keys: Sequence[str], tie: str, parts: int) -> tuple[int, dict[str, list]]:
+    """Row count and the quantiles of each key and of ``tie``, in one aggregate of mergeable sketches."""
+    acc, steps = max(1000, parts * 50), [i / parts for i in range(1, parts)]
+    aggs = [F.percentile_approx(F.col(c), steps, acc).alias(f"q{i}") for i, c in enumerate([*keys, tie])]
+    r = df.agg(F.count(F.lit(1)).alias("n"), *aggs).first()
+    return r["n"], {c: r[f"q{i}"] or [] for i, c in enumerate([*keys, tie])}
 
-    Rows are cut into ranges of the key by a quantile sketch; a value that fills several
-    ranges by itself is cut on by ``tie``.  Rows are numbered within ranges, each in its own
-    task, and shifted by the size of the ranges before, a few numbers.
+
+def global_row_numbers(df: DataFrame, keys: Mapping[str, str], tie: str, parts: int | None = None) -> tuple[int, DataFrame]:
+    """The number of rows, and ``df`` with the 1-based place of each row in the order of (key, tie) for each ``name: key``.
+
+    Keys and tie are numeric; nulls come first.  Rows are cut into ranges of the key by a
+    quantile sketch; a value that fills several ranges by itself is cut on by ``tie``.  Rows
+    are numbered within ranges, each in its own task, and shifted by the size of the
+    ranges before, a few numbers.
     """
     parts = parts or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    acc = max(1000, parts * 50)
-    steps = [i / parts for i in range(1, parts)]
-    got = df.agg(F.percentile_approx(F.col(key), steps, acc).alias("k"), F.percentile_approx(F.col(tie), steps, acc).alias("t")).first()
-    ks, ts = got["k"] or [], sorted(set(got["t"] or []))
-    heavy = sorted({v for v in ks if ks.count(v) > 1})
-    bounds = sorted(set(ks))
-    fine = F.when(F.col(key).isin(heavy), F.coalesce(range_key(F.col(tie), ts), F.lit(0)) + 1).otherwise(0) if heavy else F.lit(0)
-    x = df.withColumn("_r", F.coalesce(range_key(F.col(key), bounds), F.lit(-1)) * (len(ts) + 2) + fine)
-    sizes = x.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))  # one row per range
-    before = sizes.select(F.col("_r").alias("_s"), (F.sum("_n").over(W.orderBy("_r")) - F.col("_n")).alias("_before"))
-    x = x.withColumn("_i", F.row_number().over(W.partitionBy("_r").orderBy(F.col(key).asc_nulls_first(), F.col(tie).asc_nulls_first())))
-    j = x.join(F.broadcast(before), x["_r"] == before["_s"])  # at most parts * (parts + 1) rows, by construction
-    return j.withColumn(name, F.col("_i") + F.col("_before")).drop("_r", "_s", "_i", "_before")
-
-
-def global_ntile(df: DataFrame, key: str, tie: str, k: int, name: str, total: str | None = None) -> DataFrame:
-    """``ntile(k)`` over all rows in the order of (key, tie): the first ``rows mod k`` tiles are one longer."""
-    n = df.count()
+    base = x = written(df, "ranked")
+    n, quantiles = _stats(base, sorted(set(keys.values())), tie, parts)
+    ts = sorted(set(quantiles[tie]))
+    for name, key in keys.items():
+        ks = quantiles[key]
+        heavy = sorted({v for v in ks if ks.count(v) > 1})
+        fine = F.when(F.col(key).isin(heavy), F.coalesce(range_key(F.col(tie), ts), F.lit(0)) + 1).otherwise(0) if heavy else F.lit(0)
+        rng = F.coalesce(range_key(F.col(key), sorted(set(ks))), F.lit(-1)) * (len(ts) + 2) + fine
+        # sizes come from the written rows, not from the numbering of the key before
+        sizes = rows_before(df.sparkSession, base, rng)
+        place = F.row_number().over(W.partitionBy("_r").orderBy(F.col(key).asc_nulls_first(), F.col(tie).asc_nulls_first()))
+        y = x.withColumn("_r", rng).withColumn("_i", place)
+        # at most (parts + 1) * (parts + 2) rows, by construction
+        x = y.join(F.broadcast(sizes), y["_r"] == sizes["_s"]).withColumn(name, F.col("_i") + F.col("_before")).drop("_r", "_s", "_i", "_before")
+    return n, x
+
+
+def rows_before(spark: SparkSession, rows: DataFrame, rng: Column) -> DataFrame:
+    """``_s, _before``: per range how many rows lie in ranges before it."""
+    sizes = sorted((r["_s"], r["n"]) for r in rows.groupBy(rng.alias("_s")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before, at = [], 0
+    for s, n in sizes:
+        before.append((s, at))
+        at += n
+    return spark.createDataFrame(before, "_s int, _before bigint")
+
+
+def global_ntiles(df: DataFrame, keys: Mapping[str, str], tie: str, k: int) -> DataFrame:
+    """``ntile(k)`` over all rows in the order of (key, tie) for each ``name: key``: the first ``rows mod k`` tiles are one longer."""
+    n, x = global_row_numbers(df, {f"_place_{name}": key for name, key in keys.items()}, tie)
     small, extra = divmod(n, k)
-    x = global_row_number(df, key, tie, "_place")
     head = extra * (small + 1)
-    p = F.col("_place")
-    tile = F.when(p <= head, F.ceil(p / (small + 1))).otherwise(F.lit(extra) + F.ceil((p - head) / max(small, 1)))
-    return x.withColumn(name, tile.cast("int")).drop("_place")
+    for name in keys:
+        p = F.col(f"_place_{name}")
+        tile = F.when(p <= head, F.ceil(p / (small + 1))).otherwise(F.lit(extra) + F.ceil((p - head) / max(small, 1)))
+        x = x.withColumn(name, tile.cast("int")).drop(f"_place_{name}")
+    return x
+
+
+def global_ntile(df: DataFrame, key: str, tie: str, k: int, name: str) -> DataFrame:
+    return global_ntiles(df, {name: key}, tie, k)

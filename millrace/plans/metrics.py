@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.ranking import global_ntile, top_overall, top_per_group
+from millrace.operators.ranking import global_ntiles, top_overall, top_per_group
 from millrace.plans.star import LOW
 
 
@@ -82,9 +82,7 @@ def rfm_segmentation(fact: DataFrame, recency_best_high: bool = False) -> DataFr
     key = "recency_days"
     if recency_best_high:
         u, key = u.withColumn("_recent", -F.col("recency_days")), "_recent"
-    u = global_ntile(u, key, "user_id", 5, "r_score").drop("_recent")
-    u = global_ntile(u, "frequency", "user_id", 5, "f_score")
-    u = global_ntile(u, "monetary", "user_id", 5, "m_score")
+    u = global_ntiles(u, {"r_score": key, "f_score": "frequency", "m_score": "monetary"}, "user_id", 5).drop("_recent")
     r, f, m = F.col("r_score"), F.col("f_score"), F.col("m_score")
     return u.select("*", (r + f + m).alias("rfm_score"), segment(r, f).alias("segment"))
 
