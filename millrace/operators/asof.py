@@ -3,16 +3,18 @@
 Method: events and changes are co-grouped by entity; per group a vectorised binary search
 finds the latest version valid and recorded by each event time.
 
-A group is a bucket of entities, so that a task searches many at once.  Entities with more
-than ``hot_share`` of the events (at most 1 / hot_share of them) are spread over slices,
-each with a copy of the entity's few changes.
+A group is a bucket of entities, so that a task searches many at once.  An entity with more
+than ``hot_share`` of the events (at most 1 / hot_share of them are) is spread over slices
+of events, each with a copy of its changes.  An entity with more than ``hot_share`` of the
+changes is likewise cut into slices of changes, each probed by its events; the best of the
+slices' answers is taken by an aggregate.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.util import heavy_keys, slices_for
@@ -25,7 +27,8 @@ def _search(attrs: list[str]):
     def run(events: pa.Table, known: pa.Table) -> pa.Table:
         ids = events["row_id"]
         if not events.num_rows or not known.num_rows:
-            return pa.table({"row_id": ids.slice(0, 0), **{a: pa.array([], pa.string()) for a in attrs}})
+            none = pa.array([], pa.int64())
+            return pa.table({"row_id": ids.slice(0, 0), "valid": none, "rec_us": none, "tie": none, **{a: pa.array([], pa.string()) for a in attrs}})
         key, at, valid, tie = (known[c].to_numpy() for c in ("key", "rec_us", "valid", "tie"))
         order = np.lexsort((tie, valid, at, key))
         key, at = key[order], at[order]
@@ -51,11 +54,24 @@ def _search(attrs: list[str]):
         ok &= group[np.maximum(pos, 0)] == g
         hit = np.flatnonzero(ok)
         rows = pa.array(row_of[best[pos[hit]]])
-        return pa.table({"row_id": ids.take(pa.array(hit)), **{a: known[a].cast(pa.string()).take(rows) for a in attrs}})
+        got = known.take(rows)
+        return pa.table({"row_id": ids.take(pa.array(hit)), **{c: got[c] for c in ("valid", "rec_us", "tie")}, **{a: got[a].cast(pa.string()) for a in attrs}})
 
     return run
 
 
+def _slices(rows: DataFrame, total: int, share: float, size: int) -> dict[int, int]:
+    """Entities that take more than one slice, with how many: at most 1 / share of them."""
+    hot = heavy_keys(rows.select("key"), "key", total, share)
+    return {k: n for k, count in hot if (n := slices_for(count, size)) > 1}
+
+
+def _lookup(slices: dict[int, int]) -> Column:
+    if not slices:
+        return F.lit(1)
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in slices.items() for x in kv]), F.col("key")), F.lit(1))
+
+
 def as_known(events: DataFrame, known: DataFrame, attrs: list[str], rows_per_bucket: int = ROWS_PER_BUCKET, hot_share: float = HOT_SHARE) -> DataFrame:
     """``row_id, <attrs>`` of each event whose entity had a version recorded by then.
 
@@ -68,19 +84,21 @@ def as_known(events: DataFrame, known: DataFrame, attrs: list[str], rows_per_buc
     e = events.filter(F.col("key").isNotNull() & F.col("at_us").isNotNull()).select("row_id", F.col("key").cast("bigint").alias("key"), "at_us")
     k = known.filter(F.col("key").isNotNull() & F.col("rec_us").isNotNull() & F.col("valid").isNotNull())
     k = k.select(F.col("key").cast("bigint").alias("key"), "rec_us", F.col("valid").cast("bigint").alias("valid"), F.col("tie").cast("bigint").alias("tie"), *attrs)
-    total = events.count()
-    hot = heavy_keys(events.select(F.col("key").cast("bigint").alias("key")).filter("key is not null"), "key", total, hot_share)
-    buckets = slices_for(total, rows_per_bucket)
-    slices = {key: slices_for(n, rows_per_bucket // 2) for key, n in hot}
-    slices = {key: n for key, n in slices.items() if n > 1}
-    if slices:
-        table = F.create_map(*[F.lit(v) for kv in slices.items() for v in kv])
-        n = F.coalesce(F.try_element_at(table, F.col("key")), F.lit(1))
-    else:
-        n = F.lit(1)
-    group = lambda s: F.pmod(F.xxhash64(F.col("key"), s), F.lit(buckets + sum(slices.values()))).cast("int").alias("g")
-    e = e.select("*", F.pmod(F.xxhash64("row_id"), n.cast("bigint")).cast("int").alias("s")).select("row_id", "key", "at_us", group(F.col("s")))
-    # two slices of an entity can fall into one bucket, which then holds its versions twice: of equal ones either counts
-    k = k.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("s")).select("key", "rec_us", "valid", "tie", *attrs, group(F.col("s")))
-    schema = "row_id bigint, " + ", ".join(f"{a} string" for a in attrs)
-    return e.groupBy("g").cogroup(k.groupBy("g")).applyInArrow(_search(attrs), schema)
+    n_events, n_known = e.count(), k.count()
+    half = max(1, rows_per_bucket // 2)
+    by_event, by_change = _slices(e, n_events, hot_share, half), _slices(k, n_known, hot_share, half)
+    buckets = slices_for(n_events + n_known, rows_per_bucket) + sum(by_event.values()) + sum(by_change.values())
+    ne, nk = _lookup(by_event), _lookup(by_change)
+    one = lambda c, n: F.pmod(F.xxhash64(c), n.cast("bigint")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    group = F.pmod(F.xxhash64("key", "s", "c"), F.lit(buckets)).cast("int").alias("g")
+    # a pair of slices (of events, of changes) of an entity meets in one bucket; c tells slices of changes apart that share it
+    e = e.withColumn("s", one("row_id", ne)).select("*", every(nk).alias("c")).select("row_id", "key", "at_us", group)
+    k = k.withColumn("c", one("rec_us", nk)).select("*", every(ne).alias("s")).select("key", "rec_us", "valid", "tie", *attrs, group)
+    schema = "row_id bigint, valid bigint, rec_us bigint, tie bigint, " + ", ".join(f"{a} string" for a in attrs)
+    found = e.groupBy("g").cogroup(k.groupBy("g")).applyInArrow(_search(attrs), schema)
+    if by_change:
+        # slices of one entity may fall into one bucket, whose events then stand there more than once
+        best = F.max(F.struct("valid", "rec_us", "tie", *attrs)).alias("b")
+        found = found.groupBy("row_id").agg(best).select("row_id", "b.*")
+    return found.select("row_id", *attrs)
