@@ -72,7 +72,7 @@ def _lookup(slices: dict[int, int]) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in slices.items() for x in kv]), F.col("key")), F.lit(1))
 
 
-def as_known(events: DataFrame, known: DataFrame, attrs: list[str], rows_per_bucket: int = ROWS_PER_BUCKET, hot_share: float = HOT_SHARE) -> DataFrame:
+def as_known(events: DataFrame, known: DataFrame, attrs: list[str], rows_per_bucket: int = ROWS_PER_BUCKET, hot_share: float = HOT_SHARE, event_keys: DataFrame | None = None) -> DataFrame:
     """``row_id, <attrs>`` of each event whose entity had a version recorded by then.
 
     ``events`` has ``row_id, key, at_us``; ``known`` has ``key, rec_us`` (when recorded),
@@ -80,13 +80,16 @@ def as_known(events: DataFrame, known: DataFrame, attrs: list[str], rows_per_buc
     versions recorded at or before the event the one with the largest ``valid`` counts, then
     the latest recorded, then the largest ``tie``.  Rows with a null key or time are ignored
     on both sides; events without a version give no row; an empty side gives none at all.
+    ``row_id`` is expected to be unique.  ``event_keys``, a ``key`` per event, is counted in
+    place of ``events`` where those are costly to compute.
     """
     e = events.filter(F.col("key").isNotNull() & F.col("at_us").isNotNull()).select("row_id", F.col("key").cast("bigint").alias("key"), "at_us")
     k = known.filter(F.col("key").isNotNull() & F.col("rec_us").isNotNull() & F.col("valid").isNotNull())
     k = k.select(F.col("key").cast("bigint").alias("key"), "rec_us", F.col("valid").cast("bigint").alias("valid"), F.col("tie").cast("bigint").alias("tie"), *attrs)
-    n_events, n_known = e.count(), k.count()
+    keys = e if event_keys is None else event_keys.filter(F.col("key").isNotNull()).select(F.col("key").cast("bigint").alias("key"))
+    n_events, n_known = keys.count(), k.count()
     half = max(1, rows_per_bucket // 2)
-    by_event, by_change = _slices(e, n_events, hot_share, half), _slices(k, n_known, hot_share, half)
+    by_event, by_change = _slices(keys, n_events, hot_share, half), _slices(k, n_known, hot_share, half)
     buckets = slices_for(n_events + n_known, rows_per_bucket) + sum(by_event.values()) + sum(by_change.values())
     ne, nk = _lookup(by_event), _lookup(by_change)
     one = lambda c, n: F.pmod(F.xxhash64(c), n.cast("bigint")).cast("int")

@@ -156,7 +156,8 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     r = ratings_instants(spark, sf, "row_id", "user_id").select("row_id", F.col("user_id").alias("key"), F.col("utc_us").alias("at_us"))
     u = clean_users(spark, sf, "user_id", "snapshot_date", "ingestion_timestamp", "row_id")
     known = u.select(F.col("user_id").alias("key"), F.unix_micros(F.col("ingestion_timestamp").cast("timestamp")).alias("rec_us"), F.unix_date("snapshot_date").alias("valid"), F.col("row_id").alias("tie"), "plan", "country")
-    return asof.as_known(r, known, ["plan", "country"]).select("row_id", *_or_blank("plan", "country"))
+    keys = table(spark, sf, "ratings").select(F.col("user_id").alias("key"))
+    return asof.as_known(r, known, ["plan", "country"], event_keys=keys).select("row_id", *_or_blank("plan", "country"))
 
 
 # --- 6
