@@ -120,8 +120,7 @@ def run_stages(checkpoint: Checkpoint, stages: list[tuple[str, Callable]]) -> di
 def full_vs_incremental(full: DataFrame, delta: DataFrame, col: str, mark: str) -> DataFrame:
     """One row: rows of a full refresh and of the slice after the mark, and the share saved."""
     new = filter_since(delta, col, mark)
-    f, i = full.agg(F.count(F.lit(1)).alias("full_rows")), new.agg(F.count(F.lit(1)).alias("incremental_rows"))
-    x = f.join(F.broadcast(i))  # one row each
+    x = full.agg(F.count(F.lit(1)).alias("full_rows")).withColumn("incremental_rows", new.agg(F.count(F.lit(1))).scalar())
     return x.withColumn("saved_pct", F.round((1 - F.try_divide(F.col("incremental_rows"), F.col("full_rows"))) * 100, 1))
 
 

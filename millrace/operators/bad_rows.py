@@ -86,10 +86,9 @@ def classify(df: DataFrame, line: str, fields: tuple[Field, ...] = RATING_FIELDS
 
     Reasons, the first that applies: ``broken_quoting``, ``column_count``,
     ``invalid_value``.  ``broken_field`` names the first field whose prefix pattern fails,
-    null for the other reasons.  A null line has no fields: ``column_count``.
+    null for the other reasons.  A null line has no fields: ``column_count``.  Columns of
+    these names in ``df`` give way to the operator's.
     """
-    if {"reason", "broken_field"} & {c.lower() for c in df.columns}:
-        raise ValueError("columns 'reason' and 'broken_field' are added; rename the input's")
     p, c = RowPatterns(fields, sep, quote), F.col(line)
     reason = (
         F.when(c.isNull(), "column_count")
@@ -117,10 +116,11 @@ def _unquoted(c: Column, quote: str) -> Column:
 
 
 def loaded(df: DataFrame, line: str, fields: tuple[Field, ...] = RATING_FIELDS, sep: str = ",", quote: str = '"') -> DataFrame:
-    """The good rows with their fields as typed columns; the other columns of ``df`` stay."""
-    clash = {f.name for f in fields} & set(df.columns)
-    if clash:
-        raise ValueError(f"input already has columns {sorted(clash)}")
+    """The good rows with their fields as typed columns.
+
+    The other columns of ``df`` stay, except those of the fields' names and ``reason`` and
+    ``broken_field``, which give way.
+    """
     p = RowPatterns(fields, sep, quote)
     good = classify(df, line, fields, sep, quote).filter(F.col("reason").isNull()).drop("reason", "broken_field")
     cols, row = {}, F.regexp_replace(F.col(line), p.end, "")

@@ -26,24 +26,24 @@ from millrace.util import within_bound
 IMPLAUSIBLE_LIKELIHOOD = 1e-6
 MAX_MODEL_ROWS = 50_000
 _ORDERS = {"MDY": 1, "DMY": 2, "YMD": 4}
-_WORK = ["_t", "_sig", "_choice", "_posterior", "_wall", "_at"]
+_WORK = [f"_mr_{c}" for c in ("t", "sig", "choice", "posterior", "wall", "at")]
 
 
 def with_readings(df: DataFrame, text_col: str, order_col: str | None = None) -> DataFrame:
-    """Add ``_t``, the text's readings, and ``_sig``, the set of those that count.
+    """Add ``_mr_t``, the text's readings, and ``_mr_sig``, the set of those that count.
 
     Where ``order_col`` names the order of the source, readings of slashes in another
     order are none at all.
     """
-    x = df.withColumn("_t", tp.parse_text(F.col(text_col)))
-    sig = F.col("_t.sig")
+    x = df.withColumn("_mr_t", tp.parse_text(F.col(text_col)))
+    sig = F.col("_mr_t.sig")
     if order_col is None:
-        return x.withColumn("_sig", sig)
+        return x.withColumn("_mr_sig", sig)
     k, keep = len(READINGS), F.lit(-1)
     for order, bit in _ORDERS.items():
         drop = 7 - bit
         keep = F.when(F.col(order_col) == order, F.lit(~(drop | drop << k))).otherwise(keep)
-    return x.withColumn("_sig", sig.bitwiseAND(keep))
+    return x.withColumn("_mr_sig", sig.bitwiseAND(keep))
 
 
 def _em(counts: dict[int, int], prior: float, rounds: int, tol: float) -> dict[int, tuple[str, float]]:
@@ -89,19 +89,17 @@ class TimestampModel:
         unresolved; ``reading`` tells: the reading used, ``ambiguous`` if no reading
         reached ``min_posterior``, else null.  With ``date_only`` the value is 00:00 UTC of
         the date: as written if the text has no time of day, else of the instant's UTC date.
-        Columns of ``df`` are kept as they are; those the operator adds while working start
-        with an underscore and are dropped.
+        Columns of ``df`` are kept, except that any named ``utc_us`` or ``reading`` give way.
+        Names that start with ``_mr_`` are the operator's own.
         """
-        taken = {"utc_us", "reading", *_WORK} & {c.lower() for c in df.columns}
-        if taken:
-            raise ValueError(f"the operator adds columns named {sorted(taken)}; rename them first")
+        df = df.drop(*[c for c in df.columns if c.lower() in ("utc_us", "reading") and c not in (self.text_col, self.source_col, self.zone_col, self.order_col)])
         x = with_readings(df, self.text_col, self.order_col)
         src = F.coalesce(F.col(self.source_col).cast("string"), F.lit("\x00none"))
         c = self.choices
-        cond = (src == c["_src"]) & (x["_sig"] == c["_csig"])
-        x = x.join(c, cond, "left").drop("_src", "_csig")
-        sure = F.col("_posterior") >= self.min_posterior
-        reading = F.when(F.col("_sig") == 0, F.lit(None).cast("string")).when(sure, F.col("_choice")).otherwise(F.lit("ambiguous"))
+        cond = (src == c["_mr_src"]) & (x["_mr_sig"] == c["_mr_csig"])
+        x = x.join(c, cond, "left").drop("_mr_src", "_mr_csig")
+        sure = F.col("_mr_posterior") >= self.min_posterior
+        reading = F.when(F.col("_mr_sig") == 0, F.lit(None).cast("string")).when(sure, F.col("_mr_choice")).otherwise(F.lit("ambiguous"))
         zone = F.col(self.zone_col) if self.zone_col else F.lit("UTC")
         return _with_utc(x.withColumn("reading", reading), zone, date_only).drop(*_WORK)
 
@@ -113,12 +111,12 @@ def _regions(spark: SparkSession) -> list[str]:
 
 
 def _with_utc(x: DataFrame, zone: Column, date_only: bool) -> DataFrame:
-    t, reading = F.col("_t"), F.col("reading")
+    t, reading = F.col("_mr_t"), F.col("reading")
     wall = F.lit(None).cast("bigint")
     for name in READINGS:
         wall = F.when(reading == name, t[name.lower()]).otherwise(wall)
-    x = x.withColumn("_wall", wall)
-    wall, region = F.col("_wall"), t["region"]
+    x = x.withColumn("_mr_wall", wall)
+    wall, region = F.col("_mr_wall"), t["region"]
     known = region.isin(*_regions(x.sparkSession))
     at = (
         F.when(reading == "epoch", wall)
@@ -128,8 +126,8 @@ def _with_utc(x: DataFrame, zone: Column, date_only: bool) -> DataFrame:
     )
     if not date_only:
         return x.withColumn("utc_us", at)
-    x = x.withColumn("_at", F.when(t["dated"] & (reading != "epoch"), wall).otherwise(at))
-    return x.withColumn("utc_us", F.floor(F.col("_at") / tp.DAY_US).cast("bigint") * tp.DAY_US)
+    x = x.withColumn("_mr_at", F.when(t["dated"] & (reading != "epoch"), wall).otherwise(at))
+    return x.withColumn("utc_us", F.floor(F.col("_mr_at") / tp.DAY_US).cast("bigint") * tp.DAY_US)
 
 
 def fit(
@@ -145,14 +143,14 @@ def fit(
     spark = df.sparkSession
     x = with_readings(df.filter(F.col(text_col).isNotNull()), text_col, order_col)
     src = F.coalesce(F.col(source_col).cast("string"), F.lit("\x00none"))
-    counts = x.select(src.alias("_src"), "_sig").groupBy("_src", "_sig").count()
+    counts = x.select(src.alias("_mr_src"), "_mr_sig").groupBy("_mr_src", "_mr_sig").count()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = _em({int(s): int(n) for s, n in zip(pdf["_sig"], pdf["count"], strict=True) if s}, prior, rounds, tol)
-        return pd.DataFrame([(pdf["_src"].iloc[0], s, c, p) for s, (c, p) in got.items()], columns=["_src", "_csig", "_choice", "_posterior"])
+        got = _em({int(s): int(n) for s, n in zip(pdf["_mr_sig"], pdf["count"], strict=True) if s}, prior, rounds, tol)
+        return pd.DataFrame([(pdf["_mr_src"].iloc[0], s, c, p) for s, (c, p) in got.items()], columns=["_mr_src", "_mr_csig", "_mr_choice", "_mr_posterior"])
 
-    schema = "_src string, _csig int, _choice string, _posterior double"
-    fitted = counts.groupBy("_src").applyInPandas(one, schema)
+    schema = "_mr_src string, _mr_csig int, _mr_choice string, _mr_posterior double"
+    fitted = counts.groupBy("_mr_src").applyInPandas(one, schema)
     rows = within_bound(fitted, MAX_MODEL_ROWS)
     # as local rows the model's size is known to the planner, which broadcasts it if it is small; else it joins by shuffle
     choices = fitted if rows is None else spark.createDataFrame(rows, schema)
@@ -164,9 +162,9 @@ def with_instants(df: DataFrame, feeds: DataFrame, text_col: str, date_only: boo
 
     Rows whose feed is unknown are read as UTC, and their order of slashes is fitted.
     """
-    f = feeds.select(F.col("feed_id").alias("_feed"), F.col("time_zone").alias("_zone"), F.col("date_order").alias("_order"))
-    base = df.select(*(keep or df.columns), *([] if keep is None or "feed_id" in keep else ["feed_id"]), *([] if keep is None or text_col in keep else [text_col]))
-    x = base.join(f, base["feed_id"] == f["_feed"], "left").withColumn("_zone", F.coalesce("_zone", F.lit("UTC")))
-    model = fit(x.select("feed_id", text_col, "_zone", "_order"), text_col, "feed_id", "_zone", "_order", **options)
-    out = model.transform(x, date_only).drop("_feed", "_zone", "_order")
-    return out.select(*(keep or df.columns), "utc_us", "reading")
+    cols = [c for c in (keep if keep is not None else df.columns) if c.lower() not in ("utc_us", "reading")]
+    f = feeds.select(F.col("feed_id").alias("_mr_feed"), F.col("time_zone").alias("_mr_zone"), F.col("date_order").alias("_mr_order"))
+    base = df.select(*cols, F.col("feed_id").alias("_mr_source"), F.col(text_col).alias("_mr_text"))
+    x = base.join(f, base["_mr_source"] == f["_mr_feed"], "left").withColumn("_mr_zone", F.coalesce("_mr_zone", F.lit("UTC")))
+    model = fit(x, "_mr_text", "_mr_source", "_mr_zone", "_mr_order", **options)
+    return model.transform(x, date_only).select(*cols, "utc_us", "reading")

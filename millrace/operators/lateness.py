@@ -37,13 +37,14 @@ def admit(df: DataFrame, event_us: Column, arrival_us: Column, k_us: int = K_US,
     ``release_us`` is when the buffer releases the event's place, K after its time.
     ``verdict``: ``on_time`` up to ``on_time_us`` of lag (also before its own time), ``late``
     up to and including K, ``too_late`` beyond.  Rows without event time or arrival have no
-    place in time and are dropped.  Repeated rows count like any row.
+    place in time and are dropped.  Repeated rows count like any row.  Columns of these
+    names in ``df`` give way to the operator's.
     """
-    x = df.withColumns({"event_us": event_us.cast("bigint"), "_arrival": arrival_us.cast("bigint")})
-    x = x.filter(F.col("event_us").isNotNull() & F.col("_arrival").isNotNull())
-    x = x.withColumns({"lag_us": F.col("_arrival") - F.col("event_us"), "release_us": F.col("event_us") + k_us})
-    verdict = F.when(F.col("_arrival") > F.col("release_us"), "too_late").when(F.col("lag_us") > on_time_us, "late").otherwise("on_time")
-    return x.withColumns({"verdict": verdict, "event_day": day_text(F.col("event_us"))})
+    x = df.withColumns({"event_us": event_us.cast("bigint"), "_mr_arrival": arrival_us.cast("bigint")})
+    x = x.filter(F.col("event_us").isNotNull() & F.col("_mr_arrival").isNotNull())
+    x = x.withColumns({"lag_us": F.col("_mr_arrival") - F.col("event_us"), "release_us": F.col("event_us") + k_us})
+    verdict = F.when(F.col("_mr_arrival") > F.col("release_us"), "too_late").when(F.col("lag_us") > on_time_us, "late").otherwise("on_time")
+    return x.withColumns({"verdict": verdict, "event_day": day_text(F.col("event_us"))}).drop("_mr_arrival")
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from millrace.util import quantile_bounds, range_key, slices_for
 NEVER = np.iinfo(np.int64).max
 PARENTS_PER_RANGE = 250_000
 ROWS_PER_SLICE = 200_000
-MAX_RANGES = 2_048
+MAX_RANGES = 512
 
 
 def _us(c: Column) -> Column:

@@ -182,15 +182,14 @@ def split_packed(df: DataFrame, col: str, pos: str = "pos", value: str = "value"
 
     Null, empty and blank fields and those of delimiters only give no row.  Pieces without
     text take no position.  ``keep`` names the columns to carry along, by default all but
-    ``col``; a kept column named like ``pos`` or ``value`` is refused.  Length is unbounded:
-    texts are processed in groups of like length.
+    ``col``; those named like ``pos`` or ``value`` give way to the operator's.  Length is
+    unbounded: texts are processed in groups of like length.
     """
-    cols = keep if keep is not None else [c for c in df.columns if c != col]
-    if {pos.lower(), value.lower()} & {c.lower() for c in cols}:
-        raise ValueError(f"columns {pos!r} and {value!r} must not be kept columns")
+    own = {pos.lower(), value.lower()}
+    cols = [c for c in (keep if keep is not None else df.columns) if c.lower() not in own and (keep is not None or c != col)]
 
     def split(c: pa.Array) -> pa.Array:
         return _split(c)
 
-    x = df.select(*cols, F.arrow_udf(split, T.ArrayType(T.StringType()))(F.col(col).cast("string")).alias("_values"))
-    return x.select(*cols, F.posexplode("_values").alias("_p", value)).select(*cols, (F.col("_p") + 1).alias(pos), value)
+    x = df.select(*cols, F.arrow_udf(split, T.ArrayType(T.StringType()))(F.col(col).cast("string")).alias("_mr_values"))
+    return x.select(*cols, F.posexplode("_mr_values").alias("_mr_p", value)).select(*cols, (F.col("_mr_p") + 1).alias(pos), value)

@@ -5,6 +5,7 @@ Dates and times come out as text, so that results compare alike in every engine.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,9 @@ from millrace.functions.standard import COUNTRY_CODES, country_code, parsed_date
 from millrace.operators import ranking, upsert
 from millrace.plans import metrics, star
 from millrace.quality import profile, rules
+from millrace.session import shared_dir
+from millrace.sources import files
+from millrace.streaming import windows
 from millrace.util import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -438,3 +442,30 @@ count(*) FILTER ((ingestion_timestamp AT TIME ZONE 'UTC') > TIMESTAMP '{_SPLIT}'
 def full_vs_incremental_counts(spark, sf):
     r = table(spark, sf, "ratings").select("ingestion_timestamp")
     return incremental.full_vs_incremental(r, r, "ingestion_timestamp", _SPLIT)
+
+
+# --- sources and streams
+
+
+@query("""SELECT CAST(movie_id AS BIGINT) AS movie_id, title, genres, CAST(year AS BIGINT) AS year, language, country, true AS stamped, 'run-1' AS job_run_id FROM movies""")
+def landed_movies(spark, sf):
+    path = f"{sf}/movies.parquet"
+    good, _ = files.split_corrupt(files.read_source(spark, path, files.MOVIES))
+    x = files.add_audit_columns(good, path, "run-1")
+    return x.select(*files.MOVIES.fieldNames(), (F.col("ingestion_timestamp").isNotNull() & (F.col("source_file_path") == path)).alias("stamped"), "job_run_id")
+
+
+@query("""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, round(avg(value), 4) AS avg_value FROM events GROUP BY 1""")
+def stream_tumbling_daily(spark, sf):
+    """Daily windows of the event stream, all that is there in micro-batches; the last state is the result."""
+    path = f"{sf}/events.parquet"
+    batch = spark.read.parquet(path)
+    # as a glob the source may be one file as well as a folder
+    stream = spark.readStream.schema(batch.schema).parquet(path[:-1] + "[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    q = (
+        windows.tumbling(stream, "ts", "value").writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").trigger(availableNow=True)
+        .foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(f"{out}/result")).start()
+    )
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/result").select("window_start", "n", F.round("avg_value", 4).alias("avg_value"))

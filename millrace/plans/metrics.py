@@ -74,11 +74,11 @@ def rfm_segmentation(fact: DataFrame, recency_best_high: bool = False) -> DataFr
     """Recency, frequency and value of each user in fifths, and the segment they make.
 
     By default the most recent users have ``r_score`` 1; with ``recency_best_high`` they
-    have 5.  The last date of the data comes by a one-row aggregate joined in the plan.
+    have 5.  The last date of the data is a scalar subquery of the plan.
     """
-    last = fact.agg(F.max("rating_date").alias("_last"))
+    last = fact.agg(F.max("rating_date")).scalar()
     u = fact.groupBy("user_id").agg(F.max("rating_date").alias("_latest"), F.count("rating").alias("frequency"), _avg().alias("monetary"))
-    u = u.join(F.broadcast(last)).select("user_id", F.datediff("_last", "_latest").alias("recency_days"), "frequency", "monetary")
+    u = u.select("user_id", F.datediff(last, "_latest").alias("recency_days"), "frequency", "monetary")
     key = "recency_days"
     if recency_best_high:
         u, key = u.withColumn("_recent", -F.col("recency_days")), "_recent"

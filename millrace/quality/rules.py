@@ -2,7 +2,7 @@
 
 Every rule that looks at single rows becomes a conditional count of one aggregate, so that
 a suite of any number of rules scans the table once.  Uniqueness needs a shuffle on its
-columns, one per set of columns; each ends in a one-row aggregate.
+columns, one per set of columns; each is a scalar subquery of the same plan.
 """
 
 from __future__ import annotations
@@ -128,13 +128,10 @@ def measure(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         elif r.kind == "in_set":
             aggs.append(not_in_set(r.columns[0], r.values).alias(f"r{i}"))
         elif r.kind == "unique":
-            wide.append(duplicate_groups(df, [c for c in r.columns if c in cols]).withColumnRenamed("duplicated_keys", f"r{i}"))
+            wide.append(duplicate_groups(df, [c for c in r.columns if c in cols]).scalar().alias(f"r{i}"))
         elif r.kind == "max_duplicate_pct":
-            wide.append(duplicate_excess(df, list(r.columns)).withColumnRenamed("excess_rows", f"r{i}"))
-    one = df.agg(*aggs)
-    for w in wide:
-        one = one.join(F.broadcast(w))  # one row each
-    return one
+            wide.append(duplicate_excess(df, list(r.columns)).scalar().alias(f"r{i}"))
+    return df.agg(*aggs).select("*", *wide)
 
 
 def run_suite(df: DataFrame, rules: Sequence[Rule], table: str = "") -> Report:
