@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.session import written
+
 DAY_US = 86_400_000_000
 ON_TIME_US = DAY_US
 K_US = 7 * DAY_US
@@ -80,10 +82,11 @@ def ordered_daily(admitted: DataFrame, value: str, row_id: str) -> DataFrame:
 
     ``event_day, n, avg_value, first_value, last_value, ups``: ``ups`` counts events whose
     value is above that of the event before on the same day.  Events of the same time are
-    ordered by ``row_id``.  Null values count in ``n`` only.
+    ordered by ``row_id``.  Null values count in ``n`` only.  The three columns needed are
+    written to the shared folder first: range partitioning reads its input twice.
     """
     x = admitted.filter(F.col("verdict") != "too_late").select("event_us", F.col(row_id).cast("bigint").alias("row_id"), F.col(value).cast("double").alias("value"))
-    runs = x.repartitionByRange("event_us", "row_id").sortWithinPartitions("event_us", "row_id").mapInArrow(_fold, _PARTIAL)
+    runs = written(x, "admitted").repartitionByRange("event_us", "row_id").sortWithinPartitions("event_us", "row_id").mapInArrow(_fold, _PARTIAL)
     # a day's partials: at most one per task that held part of it
     order = W.partitionBy("day").orderBy("at_us", "at_row")
     before = F.last("last", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
