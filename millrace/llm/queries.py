@@ -15,6 +15,11 @@ def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), "doc_id", "text")
 
 
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers, tokens and the share of room left unused."""
+    return packing.fill_report(p8_pack(spark, sf))
+
+
 def _spans(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaked_spans(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "text")
 
@@ -38,6 +43,6 @@ def p10_repairs(spark: SparkSession, sf: str) -> DataFrame:
     return c.filter(F.col("changed")).select(F.col("id").alias("doc_id"), "repaired", "undecided")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p8_pack, p9_found, p9_spans, p10_found, p10_repairs)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p8_pack, p8_fill, p9_found, p9_spans, p10_found, p10_repairs)}
 #: None of them can be said in SQL over whole tables; tests/llm holds them against brute force.
 SQL: dict[str, str] = {}
