@@ -68,6 +68,16 @@ def merge_with_deletes(target: DataFrame, source: DataFrame, keys: Sequence[str]
     return x if with_action else x.drop("action")
 
 
+def action_counts(target: DataFrame, source: DataFrame, keys: Sequence[str], delete_col: str | None = None) -> DataFrame:
+    """One row ``inserted, updated, deleted``: what an upsert would do, counted on the keys alone."""
+    flag = F.coalesce(F.col(delete_col), F.lit(False)) if delete_col else F.lit(False)
+    s = _keyed(source, keys).select(*keys, flag.alias("_flag"), F.lit(True).alias("_in_s")).alias("s")
+    t = target.select(*keys, F.lit(True).alias("_in_t")).alias("t")
+    j = s.join(t, _on(keys), "left").select("_flag", F.col("_in_t").isNotNull().alias("_both"))
+    both = F.col("_both")
+    return j.agg(F.count_if(~both).alias("inserted"), F.count_if(both & ~F.col("_flag")).alias("updated"), F.count_if(both & F.col("_flag")).alias("deleted"))
+
+
 def detect_changes(old: DataFrame, new: DataFrame, keys: Sequence[str], compare: Sequence[str], null_safe: bool = True) -> DataFrame:
     """``keys + compare + cdc_operation``: INSERT, UPDATE and DELETE rows between two snapshots, by one full outer join.
 

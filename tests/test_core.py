@@ -142,6 +142,7 @@ def test_merge_with_deletes(spark):
     s = spark.createDataFrame([(1, "x", True), (2, "y", False), (3, "z", None), (4, "new", True), (None, "n", False)], "k int, v string, gone boolean")
     got = sorted(tuple(r) for r in upsert.merge_with_deletes(t, s, ["k"], "gone", with_action=True).collect())
     assert got == [(2, "y", "update"), (3, "z", "update"), (4, "new", "insert")]
+    assert tuple(upsert.action_counts(t, s, ["k"], "gone").first()) == (1, 2, 1)
 
 
 def test_changes_are_null_safe(spark):

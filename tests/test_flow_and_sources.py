@@ -122,3 +122,18 @@ def test_standard_flow_and_log(spark, tmp_path):
     page = reports.monitoring_dashboard(log.read())
     assert "800" in page and log.as_dataframe(spark).count() == 8
     assert json.loads(next(tmp_path.glob("*.json")).read_text())[0]["status"] == "success"
+
+
+def test_the_whole_run(spark, tmp_path):
+    from millrace.plans.pipeline import Pipeline
+
+    sf = "/root/testdata/sf0.001"
+    p = Pipeline(spark, tmp_path, lambda name: spark.read.parquet(f"{sf}/{name}.parquet"), top_n=5)
+    runs = {r.task: r for r in p.run(flow.Retry(0))}
+    assert {r.status for r in runs.values()} == {"success"}, runs
+    assert p.read("top_movies_overall").count() == 5 and p.read("fact_ratings").count() == runs["clean"].rows
+    before = p.read("ratings").count()
+    p.clean()
+    assert p.read("ratings").count() == before and p.table("ratings").version == 2
+    assert p.incremental() == 0
+    assert (tmp_path / "quality" / "dashboard.html").exists() and (tmp_path / "reports" / "monitoring.html").exists()
