@@ -1,9 +1,11 @@
 """K-slack reordering on a stream.
 
-Each key has a buffer.  Events wait in it until the clock of arrivals passes their time
-plus K; then they are released in the order of their time.  What arrives after its release
-time is reported as too late and left out.  Whatever waits is published as a provisional
-value with every batch.
+Each key has a buffer.  Events wait in it until the clock passes their time plus K; then they
+are released in the order of their time.  The clock is that of all arrivals, of whatever key:
+the stream's watermark on arrival times, one batch behind, wakes every key whose first event
+is due.  What arrives more than K after its time is reported as too late and left out.
+Whatever waits is published as a provisional value with every batch that touches the key.
+A stream that has ended moves no clock; ``flush`` releases what it still holds.
 """
 
 from __future__ import annotations
@@ -11,34 +13,41 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.operators.lateness import DAY_US, K_US
 
-_OUT = "key string, kind string, event_us bigint, row_id bigint, value double, n bigint, total double"
-_STATE = "clock bigint, us array<bigint>, ids array<bigint>, vals array<double>"
+_OUT = "key string, kind string, event_us bigint, row_id bigint, value double, n bigint, rated bigint, total double"
+_STATE = "us array<bigint>, ids array<bigint>, vals array<double>"
 
 
 def _step(k_us: int):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        clock, us, ids, vals = state.get if state.exists else (-(2**62), [], [], [])
+        us, ids, vals = state.get if state.exists else ([], [], [])
         held, out = list(zip(us, ids, vals, strict=True)), []
+        mark = state.getCurrentWatermarkMs()
+        clock = mark * 1000 if mark > 0 else -(2**62)  # 0 is no mark yet
         for b in batches:
             for e, a, i, v in zip(b["event_us"], b["arrival_us"], b["row_id"], b["value"], strict=True):
-                clock = max(clock, int(a))
+                clock, v = max(clock, int(a)), None if pd.isna(v) else float(v)
                 if a - e > k_us:
-                    out.append((key[0], "too_late", int(e), int(i), float(v), None, None))
+                    out.append((key[0], "too_late", int(e), int(i), v, None, None, None))
                 else:
-                    held.append((int(e), int(i), float(v)))
-        held.sort()
+                    held.append((int(e), int(i), v))
+        held.sort(key=lambda x: x[:2])
         ready = [x for x in held if x[0] + k_us < clock]
         held = held[len(ready) :]
-        out += [(key[0], "released", *x, None, None) for x in ready]
-        out.append((key[0], "provisional", None, None, None, len(held), float(sum(x[2] for x in held))))
-        state.update((clock, [x[0] for x in held], [x[1] for x in held], [x[2] for x in held]))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
+        out += [(key[0], "released", *x, None, None, None) for x in ready]
+        rated = [x[2] for x in held if x[2] is not None]
+        out.append((key[0], "provisional", None, None, None, len(held), len(rated), float(sum(rated))))
+        if held:
+            state.update(tuple(list(c) for c in zip(*held, strict=True)))
+            state.setTimeoutTimestamp(max(1, -(-(held[0][0] + k_us) // 1000)))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")], dtype=object)
 
     return run
 
@@ -47,9 +56,28 @@ def reorder(events: DataFrame, k_us: int = K_US, slices: int = 8) -> DataFrame:
     """Released, too late and provisional rows of a stream of ``row_id, value, event_us, arrival_us``.
 
     Buffers are kept per day of event time and slice, so that no day's events gather in one
-    place; order-sensitive use merges the slices of a day, each in order, by time.
+    place; order-sensitive use merges the slices of a day, each in order, by time.  Rows
+    without event time only move the clock, those without arrival are left out.  Null values
+    stay null; ``rated`` counts the values in ``total``.  An event that comes within K of its
+    time, but in a batch after the clock has passed, is released at once.
     """
-    e = events.filter(F.col("event_us").isNotNull() & F.col("arrival_us").isNotNull())
+    arrival = F.timestamp_micros("arrival_us")
+    # Spark drops rows behind the watermark.  The event itself has a null mark, which is never
+    # behind; a second row that carries the arrival is only seen by the watermark.
+    marks = F.when(F.col("event_us").isNotNull(), F.array(F.lit(None).cast("timestamp"), arrival)).otherwise(F.array(arrival))
+    e = events.filter(F.col("arrival_us").isNotNull()).withColumn("_mark", F.explode(marks)).withWatermark("_mark", "0 seconds").filter(F.col("_mark").isNull())
     key = F.concat_ws("/", F.floor(F.col("event_us") / DAY_US), F.pmod(F.xxhash64("row_id"), F.lit(slices)))
-    e = e.select(key.alias("key"), F.col("row_id").cast("bigint").alias("row_id"), F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"), "event_us", "arrival_us")
-    return e.groupBy("key").applyInPandasWithState(_step(k_us), _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+    e = e.select(key.alias("key"), F.col("row_id").cast("bigint").alias("row_id"), F.col("value").cast("double").alias("value"), "event_us", "arrival_us", "_mark")
+    return e.groupBy("key").applyInPandasWithState(_step(k_us), _OUT, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def flush(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The events that an ended stream with this checkpoint still holds, as released rows of ``reorder``'s columns.
+
+    For streams that are not started again: their state stays as it is.
+    """
+    s = spark.read.format("statestore").load(checkpoint).select("key.key", "value.groupState.*")
+    x = s.select("key", F.explode(F.arrays_zip("us", "ids", "vals")).alias("e"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("n", "bigint"), ("rated", "bigint"), ("total", "double"))]
+    x = x.select("key", F.lit("released").alias("kind"), F.col("e.us").alias("event_us"), F.col("e.ids").alias("row_id"), F.col("e.vals").alias("value"), *none)
+    return x.orderBy("event_us", "row_id")

@@ -307,3 +307,29 @@ def test_kslack_releases_in_order_and_marks_the_late(spark, tmp_path):
     q.awaitTermination(60)
     out = [(r["kind"], r["row_id"]) for r in spark.table("kslack").collect()]
     assert [i for k, i in out if k == "released"] == [2, 1] and {i for k, i in out if k == "too_late"} == {3, 4}
+
+
+def test_kslack_releases_by_the_clock_of_all_arrivals(spark, tmp_path):
+    from millrace.operators.lateness import DAY_US
+    from millrace.streaming import kslack
+
+    schema = "row_id bigint, value double, event_us bigint, arrival_us bigint"
+    batches = [
+        [(1, 1.0, 5, 10), (2, None, 6, 20), (3, 2.0, DAY_US, DAY_US + 1)],
+        [(4, 4.0, 20 * DAY_US, 20 * DAY_US + 1)],  # another day moves the clock past rows 1 to 3
+        [(5, None, 19 * DAY_US, 19 * DAY_US + 1), (6, 6.0, 2 * DAY_US, 3 * DAY_US)],  # behind the clock, but within K of their time
+        [(7, 9.0, None, 27 * DAY_US)],  # no event time, still an arrival
+    ]
+    q, src, cp = None, tmp_path / "in", str(tmp_path / "state")
+    src.mkdir()
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(src / f"b{i}"))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(src))
+        q = kslack.reorder(stream, slices=2).writeStream.outputMode("update").option("checkpointLocation", cp).trigger(availableNow=True).foreachBatch(lambda b, _: b.write.mode("append").parquet(str(tmp_path / "out"))).start()
+        assert q.awaitTermination(120)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    released = {r["row_id"]: r["value"] for r in out.filter("kind = 'released'").collect()}
+    assert released == {1: 1.0, 2: None, 3: 2.0, 5: None, 6: 6.0} and not out.filter("kind = 'too_late'").count()
+    assert out.filter("kind = 'provisional' AND n > rated").count() > 0
+    left = kslack.flush(spark, cp)
+    assert [(r["row_id"], r["value"], r["kind"]) for r in left.collect()] == [(4, 4.0, "released")] and left.columns == out.columns
