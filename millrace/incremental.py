@@ -65,6 +65,13 @@ class Watermarks:
             self.state.put(table, {"mark": m})
         return self.get(table)
 
+    def consume(self, table: str, df: DataFrame, col: str) -> int:
+        """Count the rows after the mark, then move it to their latest value; both of one pass."""
+        x = filter_since(df, col, self.get(table)).agg(F.count(F.lit(1)).alias("n"), F.max(col).cast("string").alias("m")).first()
+        if x["m"] is not None:
+            self.state.put(table, {"mark": x["m"]})
+        return x["n"]
+
 
 class Checkpoint:
     """Which stages of a run are done, failed or open, and what they left for the next."""

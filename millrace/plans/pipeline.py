@@ -51,7 +51,6 @@ class Pipeline:
         self._write("genres", star.movie_genres(self.read("movies")))
         self._write("enriched_ratings", star.enriched_ratings(self.read("ratings"), self.read("movies"), self.read("users")))
         self._write("fact_ratings", star.fact_ratings(self.read("enriched_ratings")))
-        self.marks.advance("ratings", self.inputs("ratings"), "ingestion_timestamp")
         return n
 
     def quality(self, _: Mapping | None = None, notify: bool = True) -> int:
@@ -81,9 +80,8 @@ class Pipeline:
         return len(out)
 
     def incremental(self, _: Mapping | None = None) -> int:
-        """Landed ratings newer than the mark."""
-        mark = self.marks.get("ratings")
-        return incremental.filter_since(self.inputs("ratings"), "ingestion_timestamp", mark).count()
+        """Landed ratings newer than the mark, all without one; the mark moves past them."""
+        return self.marks.consume("ratings", self.inputs("ratings"), "ingestion_timestamp")
 
     def monitoring(self, _: Mapping | None = None) -> int:
         """Profiles of the clean tables as pages."""

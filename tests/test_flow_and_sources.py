@@ -137,3 +137,21 @@ def test_the_whole_run(spark, tmp_path):
     assert p.read("ratings").count() == before and p.table("ratings").version == 2
     assert p.incremental() == 0
     assert (tmp_path / "quality" / "dashboard.html").exists() and (tmp_path / "reports" / "monitoring.html").exists()
+
+
+def test_the_incremental_step_counts_what_came_since_the_last(spark, tmp_path):
+    from millrace.plans.pipeline import Pipeline
+
+    sf, until = "/root/testdata/sf0.001", {"t": "2024-09-01"}
+
+    def inputs(name):
+        t = spark.read.parquet(f"{sf}/{name}.parquet")
+        return t.filter(F.col("ingestion_timestamp") < F.lit(until["t"]).cast("timestamp")) if name == "ratings" else t
+
+    p = Pipeline(spark, tmp_path, inputs)
+    p.clean()
+    first = inputs("ratings").count()
+    assert 0 < first == p.incremental() and p.incremental() == 0
+    until["t"] = "2100-01-01"
+    p.clean()
+    assert p.incremental() == inputs("ratings").count() - first > 0 and p.incremental() == 0
