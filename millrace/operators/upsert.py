@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -133,3 +134,19 @@ def apply_scd2(history: DataFrame, new: DataFrame, key: str, tracked: Sequence[s
     rows = F.when(fresh, F.array(new_version)).when(changed, F.array(old_version, new_version)).otherwise(F.array(old_version))
     live = j.select(F.explode(rows).alias("v")).select(*[F.col(f"v.{c}").alias(c) for c in [*cols, *SCD_COLUMNS]])
     return past.select(*cols, *SCD_COLUMNS).unionByName(live)
+
+
+def scd2_from_snapshots(states: DataFrame, key: str, snapshot: str, tracked: Sequence[str]) -> DataFrame:
+    """The history that ``apply_scd2`` gives when all snapshots are applied in their order, in one pass.
+
+    ``states`` has one row per (key, snapshot).  A version is its first row; it ends where
+    the next one of the key starts, and the last is current, also of keys that are gone.
+    """
+    order = W.partitionBy(key).orderBy(snapshot)
+    start = F.lag(F.lit(1)).over(order).isNull()
+    for c in tracked:
+        start = start | ~F.lag(c).over(order).eqNullSafe(F.col(c))
+    v = _keyed(states, [key]).withColumn("_start", start).filter(F.col("_start")).drop("_start")
+    end = F.lead(snapshot).over(order).cast("timestamp")
+    v = v.withColumns({"scd_start_date": F.col(snapshot).cast("timestamp"), "scd_end_date": end})
+    return v.withColumn("is_current", F.col("scd_end_date").isNull()).drop(snapshot)

@@ -42,12 +42,20 @@ class Pipeline:
         return self.read(name).count()  # of Parquet footers
 
     def clean(self, _: Mapping | None = None) -> int:
-        """Ratings are merged into those kept; movies and users are replaced; genres and enriched ratings follow."""
+        """Ratings are merged into those kept; movies and users are replaced; genres and enriched ratings follow.
+
+        ``users_snapshots`` keeps every snapshot's row of a user, and ``users_scd2`` the
+        history of plan and country over all of them, so that a load that holds new
+        snapshots only, or corrects an old one, finds its place.
+        """
         fresh, t = star.clean_ratings(self.inputs("ratings")), self.table("ratings")
         merged = upsert.merge(t.read(), fresh, ["user_id", "movie_id"], ["rating", "rated_at", "row_id", "ingestion_timestamp"], newer="rated_at") if t.exists else fresh
         n = self._write("ratings", merged)
         self._write("movies", star.clean_movies(self.inputs("movies")))
         self._write("users", star.current_users(self.inputs("users")))
+        states, kept = star.user_states(self.inputs("users")), self.table("users_snapshots")
+        self._write("users_snapshots", star.latest_states(kept.read().unionByName(states)) if kept.exists else states)
+        self._write("users_scd2", upsert.scd2_from_snapshots(self.read("users_snapshots"), "user_id", "snapshot_date", ["plan", "country"]))
         self._write("genres", star.movie_genres(self.read("movies")))
         self._write("enriched_ratings", star.enriched_ratings(self.read("ratings"), self.read("movies"), self.read("users")))
         self._write("fact_ratings", star.fact_ratings(self.read("enriched_ratings")))

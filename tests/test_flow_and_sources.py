@@ -155,3 +155,25 @@ def test_the_incremental_step_counts_what_came_since_the_last(spark, tmp_path):
     until["t"] = "2100-01-01"
     p.clean()
     assert p.incremental() == inputs("ratings").count() - first > 0 and p.incremental() == 0
+
+
+def test_the_run_keeps_the_history_of_users(spark, tmp_path):
+    from millrace.operators import upsert
+    from millrace.plans import star
+    from millrace.plans.pipeline import Pipeline
+
+    sf, days = "/root/testdata/sf0.001", ["2024-01-01", "2024-02-01", "2024-03-01", "2024-04-01"]
+    users, now = spark.read.parquet(f"{sf}/users.parquet"), {"days": days[:3]}
+    p = Pipeline(spark, tmp_path, lambda name: users.filter(F.col("snapshot_date").cast("string").isin(now["days"])) if name == "users" else spark.read.parquet(f"{sf}/{name}.parquet"))
+    p.clean()
+    now["days"] = days[3:]  # the next load holds the new snapshot only
+    p.clean()
+    snap = lambda d: star.current_users(users.filter(F.col("snapshot_date") == F.lit(d).cast("date"))).drop("snapshot_date")
+    want = upsert.scd2_first_load(snap(days[0]), F.lit(days[0]))
+    for d in days[1:]:
+        want = upsert.apply_scd2(want, snap(d), "user_id", ["plan", "country"], F.lit(d))
+    got = p.read("users_scd2")
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = lambda df: sorted(map(tuple, df.select(*sorted(want.columns)).collect()), key=str)
+    assert rows(got) == rows(want)
+    assert got.filter("NOT is_current").count() > 0 and not got.filter("is_current").groupBy("user_id").count().filter("count > 1").count()
