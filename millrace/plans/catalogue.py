@@ -337,6 +337,34 @@ def column_top5(spark, sf):
     return profile.top_values(table(spark, sf, "ratings").select(*_PROFILE), 5)
 
 
+# whole tables: every column with its kind; times are compared as text in UTC
+_WHOLE = {
+    "ratings": {"row_id": "number", "user_id": "number", "movie_id": "number", "rating": "number", "rated_at": "text", "feed_id": "text", "ingestion_timestamp": "time", "source_file_path": "text", "job_run_id": "text"},
+    "movies": {"row_id": "number", "movie_id": "number", "title": "text", "genres": "text", "year": "number", "language": "text", "country": "text", "ingestion_timestamp": "time", "deleted_at": "time"},
+    "users": {"row_id": "number", "snapshot_date": "text", "user_id": "number", "signup_date": "text", "country": "text", "plan": "text", "feed_id": "text", "ingestion_timestamp": "time", "job_run_id": "text"},
+}
+
+
+def _profile_sql(t: str, c: str, kind: str) -> str:
+    v = f"({c} AT TIME ZONE 'UTC')" if kind == "time" else c
+    mean, std = (f"round(avg({c}), 3)", f"round(stddev_samp({c}), 3)") if kind == "number" else ("CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)")
+    return f"""SELECT '{c}' AS "column", count(*) FILTER ({c} IS NULL) AS nulls, round(CAST(count(*) FILTER ({c} IS NULL) AS DOUBLE) / count(*) * 100, 1) AS null_pct,
+count(DISTINCT {c}) + CAST(count(*) > count({c}) AS INT) AS distinct_values, CAST(min({v}) AS VARCHAR) AS min, CAST(max({v}) AS VARCHAR) AS max, {mean} AS mean, {std} AS stddev FROM {t}"""
+
+
+def _top5_sql(t: str, c: str, kind: str) -> str:
+    v = f"({c} AT TIME ZONE 'UTC')" if kind == "time" else c
+    return f"""SELECT * FROM (SELECT '{c}' AS "column", row_number() OVER (ORDER BY n DESC, v NULLS FIRST) AS rank, v AS value, n FROM
+(SELECT CAST({v} AS VARCHAR) AS v, count(*) AS n FROM {t} GROUP BY 1)) WHERE rank <= 5"""
+
+
+for _t, _kinds in _WHOLE.items():
+    QUERIES[f"column_profile_{_t}"] = (lambda t: lambda spark, sf: plain(profile.column_profile(table(spark, sf, t))))(_t)
+    SQL[f"column_profile_{_t}"] = " UNION ALL ".join(_profile_sql(_t, c, k) for c, k in _kinds.items())
+    QUERIES[f"column_top5_{_t}"] = (lambda t: lambda spark, sf: plain(profile.top_values(table(spark, sf, t), 5)))(_t)
+    SQL[f"column_top5_{_t}"] = " UNION ALL ".join(_top5_sql(_t, c, k) for c, k in _kinds.items())
+
+
 # --- upserts, change capture, history
 
 _SPLIT = "2024-09-01 00:00:00"

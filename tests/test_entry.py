@@ -63,3 +63,10 @@ def test_everything_but_the_text_operators_stands_without_them():
     assert subprocess.run([sys.executable, "-c", code], cwd=REPO, check=False).returncode == 0
     others = [p for p in (REPO / "millrace").rglob("*.py") if "llm" not in p.parts]
     assert not [p for p in others if "millrace.llm" in p.read_text()]
+
+
+@pytest.mark.parametrize("name", ["ratings", "movies", "users"])
+def test_profiles_cover_every_column(spark, name):
+    want = set(spark.read.parquet(f"{SF}/{name}.parquet").columns)
+    for q in ("column_profile", "column_top5"):
+        assert {r["column"] for r in entry.queries()[f"{q}_{name}"](spark, SF).collect()} == want
