@@ -82,11 +82,13 @@ class RowPatterns:
 
 
 def classify(df: DataFrame, line: str, fields: tuple[Field, ...] = RATING_FIELDS, sep: str = ",", quote: str = '"') -> DataFrame:
-    """``df`` with ``reason`` (null for good rows) and ``broken_field``.
+    """``df`` with ``reason`` (null for good rows), ``broken_at`` and ``broken_field``.
 
     Reasons, the first that applies: ``broken_quoting``, ``column_count``,
-    ``invalid_value``.  ``broken_field`` names the first field whose prefix pattern fails,
-    null for the other reasons.  A null line has no fields: ``column_count``.  Columns of
+    ``invalid_value``.  ``broken_at`` is the place, from 1, of the first field whose prefix
+    pattern fails, of rows of every reason, and ``broken_field`` its name.  Where all fields
+    of the schema pass, what follows them is broken: the place is one beyond the last, without
+    a name.  A null line has no fields: ``column_count``, broken at the first.  Columns of
     these names in ``df`` give way to the operator's.
     """
     p, c = RowPatterns(fields, sep, quote), F.col(line)
@@ -98,14 +100,16 @@ def classify(df: DataFrame, line: str, fields: tuple[Field, ...] = RATING_FIELDS
         .otherwise("invalid_value")
     )
     x = df.withColumn("reason", reason)
-    first = F.lit(None).cast("string")
+    place = F.lit(len(fields) + 1)
     for i in range(len(fields) - 1, -1, -1):
-        first = F.when(~c.rlike(p.prefix[i]), fields[i].name).otherwise(first)
-    return x.withColumn("broken_field", F.when(F.col("reason") == "invalid_value", first))
+        place = F.when(~c.rlike(p.prefix[i]), F.lit(i + 1)).otherwise(place)
+    place = F.when(c.isNull(), F.lit(1)).otherwise(place)
+    x = x.withColumn("broken_at", F.when(F.col("reason").isNotNull(), place))
+    return x.withColumn("broken_field", F.get(F.array(*[F.lit(f.name) for f in fields]), F.col("broken_at") - 1))
 
 
 def rejected(df: DataFrame, line: str, fields: tuple[Field, ...] = RATING_FIELDS, **csv) -> DataFrame:
-    """Rows that cannot be loaded, with ``reason`` and ``broken_field``."""
+    """Rows that cannot be loaded, with ``reason``, ``broken_at`` and ``broken_field``."""
     return classify(df, line, fields, **csv).filter(F.col("reason").isNotNull())
 
 
@@ -118,11 +122,11 @@ def _unquoted(c: Column, quote: str) -> Column:
 def loaded(df: DataFrame, line: str, fields: tuple[Field, ...] = RATING_FIELDS, sep: str = ",", quote: str = '"') -> DataFrame:
     """The good rows with their fields as typed columns.
 
-    The other columns of ``df`` stay, except those of the fields' names and ``reason`` and
-    ``broken_field``, which give way.
+    The other columns of ``df`` stay, except those of the fields' names and ``reason``,
+    ``broken_at`` and ``broken_field``, which give way.
     """
     p = RowPatterns(fields, sep, quote)
-    good = classify(df, line, fields, sep, quote).filter(F.col("reason").isNull()).drop("reason", "broken_field")
+    good = classify(df, line, fields, sep, quote).filter(F.col("reason").isNull()).drop("reason", "broken_at", "broken_field")
     cols, row = {}, F.regexp_replace(F.col(line), p.end, "")
     for i, f in enumerate(fields):
         raw = _unquoted(F.regexp_extract(row, p.field(i), 1), quote)

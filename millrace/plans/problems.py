@@ -88,10 +88,17 @@ def p3_loaded(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_report(spark: SparkSession, sf: str) -> DataFrame:
-    x = bad_rows.rejected(table(spark, sf, "ratings_raw"), "raw_line").withColumn("broken_field", F.coalesce("broken_field", F.lit("")))
+    """Lines per reason; the field is told of invalid values only (``p3_broken_at`` tells it of all)."""
+    field = F.when(F.col("reason") == "invalid_value", F.col("broken_field")).otherwise("")
+    x = bad_rows.rejected(table(spark, sf, "ratings_raw"), "raw_line").withColumn("broken_field", field)
     return x.groupBy("source_file_path", "reason", "broken_field").agg(F.count(F.lit(1)).alias("lines"))
 
 
+def p3_broken_at(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line set aside with its reason and the place and name of its first broken field."""
+    return bad_rows.rejected(table(spark, sf, "ratings_raw"), "raw_line").select("line_id", "reason", "broken_at", *_or_blank("broken_field"))
+
+
 _P3 = r"""
 WITH b AS (SELECT line_id, source_file_path, regexp_replace(raw_line, '(\r\n|\r|\n)$', '') AS s FROM ratings_raw),
 q AS (SELECT *, regexp_full_match(s, '("([^"]|"")*"|[^",]?|[^",][^",]*)(,("([^"]|"")*"|[^",]?|[^",][^",]*))*', 's') AS ok,
@@ -199,7 +206,7 @@ def p7_revisions(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_report, p2_found, p2_genre_counts, p3_found, p3_loaded, p3_report, p4_found, p4_changes, p5_found,
+        p1_found, p1_report, p2_found, p2_genre_counts, p3_found, p3_loaded, p3_report, p3_broken_at, p4_found, p4_changes, p5_found,
         p6_found, p6_readings, p7_found, p7_daily, p7_revisions,
     )
 }

@@ -346,3 +346,13 @@ def test_ordered_daily_and_revisions_match_brute_force(spark):
         assert r["n"] == sum(e // DAY == d and max(0, -(-lag // DAY) - 1) <= r["lag_day"] and lag <= 7 * DAY for i, e, v, lag in rows)
     assert lateness.ordered_daily(a.limit(0), "rating", "row_id").count() == 0
 
+
+
+def test_the_broken_field_is_told_for_every_reason(spark):
+    lines = ['1,2,3.5,x', '1,"2,3.5,x', '1,2,3.5,a"b', "1,2", "1,2,3.5,x,y", '1,2,3.5,x,"y', "1,z,3.5,x", None]
+    df = spark.createDataFrame(list(enumerate(lines)), "line_id int, raw_line string")
+    got = {r["line_id"]: (r["reason"], r["broken_at"], r["broken_field"]) for r in bad_rows.rejected(df, "raw_line").collect()}
+    assert got == {
+        1: ("broken_quoting", 2, "movie_id"), 2: ("broken_quoting", 4, "rated_at"), 3: ("column_count", 3, "rating"), 4: ("column_count", 5, None),
+        5: ("broken_quoting", 5, None), 6: ("invalid_value", 2, "movie_id"), 7: ("column_count", 1, "user_id"),
+    }
