@@ -12,6 +12,7 @@ from millrace import flow, incremental
 from millrace.operators import upsert
 from millrace.plans import metrics, star
 from millrace.quality import profile, reports, rules
+from millrace.sources import files
 from millrace.sources.snapshots import SnapshotTable
 
 Inputs = Callable[[str], DataFrame]  # the landed rows of ratings, movies or users
@@ -23,12 +24,22 @@ SUITES: dict[str, list[rules.Rule]] = {
     "fact_ratings": rules.compile_rules({"not_null": ["user_id", "movie_id"], "thresholds": {"min_row_count": 1}}),
 }
 
+SCHEMAS = {"ratings": files.RATINGS, "movies": files.MOVIES, "users": files.USERS}
+REFERENCES = {"user_id": "users", "movie_id": "movies"}  # of ratings
+
 
 class Pipeline:
-    """Steps over tables below ``base``; each reads what the ones before wrote."""
+    """Steps over tables below ``base``; each reads what the ones before wrote.
+
+    With ``landing`` the ingest steps land the files of ``folders``, by table, under
+    ``source``; ``inputs`` then reads what was landed.
+    """
 
-    def __init__(self, spark: SparkSession, base: str | Path, inputs: Inputs, top_n: int = 100) -> None:
+    def __init__(
+        self, spark: SparkSession, base: str | Path, inputs: Inputs, top_n: int = 100, landing: files.Landing | None = None, folders: Mapping[str, str] | None = None, source: str = "files"
+    ) -> None:
         self.spark, self.base, self.inputs, self.top_n = spark, Path(base), inputs, top_n
+        self.landing, self.folders, self.source = landing, dict(folders or {}) if landing else {}, source
         self.marks = incremental.Watermarks(self.base / "state" / "marks")
 
     def table(self, name: str) -> SnapshotTable:
@@ -41,6 +52,13 @@ class Pipeline:
         self.table(name).write(df)
         return self.read(name).count()  # of Parquet footers
 
+    def ingest(self, name: str) -> int:
+        """Rows landed from the table's folder by this run; without a folder, rows of its input."""
+        if name not in self.folders:
+            return self.inputs(name).agg(F.count(F.lit(1))).first()[0]
+        out = self.landing.ingest_directory(self.folders[name], self.source, name, SCHEMAS[name])
+        return self.spark.read.parquet(*out).count() if out else 0
+
     def clean(self, _: Mapping | None = None) -> int:
         """Ratings are merged into those kept; movies and users are replaced; genres and enriched ratings follow.
 
@@ -62,17 +80,35 @@ class Pipeline:
         return n
 
     def quality(self, _: Mapping | None = None, notify: bool = True) -> int:
-        """All suites; reports and dashboard are written, channels told, and a failure stops the flow."""
-        found = rules.run_all({n: self.read(n) for n in SUITES}, SUITES)
+        """All suites; reports and dashboard are written, channels told, and a failure of a suite stops the flow.
+
+        Ratings without their user or movie, and files that could not be landed, are reported alike but stop nothing.
+        """
+        suites = rules.run_all({n: self.read(n) for n in SUITES}, SUITES)
+        found = suites | {"ratings_references": self.references()} | ({"landing": self.landed()} if self.landing else {})
         log = reports.MetricsLog(self.spark, self.base / "quality" / "metrics")
         for name, r in found.items():
             reports.save_report(r, self.base / "quality")
-            log.append(name, self.read(name).count(), 0, r.failed, r.ok)
+            rows = {"ratings_references": "ratings", "landing": None}.get(name, name)
+            log.append(name, self.read(rows).count() if rows else len(self.landing.quarantine.errors()), 0, r.failed, r.ok)
         (self.base / "quality" / "dashboard.html").write_text(reports.quality_dashboard(found, reports.history(self.base / "quality")))
         if notify:
             reports.notify(found)
-        flow.quality_gate(found)
-        return len(found)
+        flow.quality_gate(suites)
+        return len(suites)
+
+    def references(self) -> rules.Report:
+        """Ratings whose user or movie is not among the clean ones."""
+        out = []
+        for key, parent in REFERENCES.items():
+            n = rules.orphan_keys(self.read("ratings"), key, self.read(parent), key).count()
+            out.append(rules.Outcome(rules.Rule("references", (key,)), rules.FAILED if n else rules.PASSED, n, f"not in {parent}" if n else ""))
+        return rules.Report("ratings_references", out)
+
+    def landed(self) -> rules.Report:
+        """Files in quarantine, by name and reason."""
+        bad = self.landing.quarantine.errors()
+        return rules.Report("landing", [rules.Outcome(rules.Rule("readable_files"), rules.FAILED if bad else rules.PASSED, len(bad), "; ".join(f"{e['file']}: {e['reason']}" for e in bad))])
 
     def analytics(self, _: Mapping | None = None) -> int:
         """Dimensions and every metric table; their number."""
@@ -94,7 +130,7 @@ class Pipeline:
     def monitoring(self, _: Mapping | None = None) -> int:
         """Profiles of the clean tables as pages."""
         (self.base / "reports").mkdir(parents=True, exist_ok=True)
-        for name in ("ratings", "movies", "users"):
+        for name in ("ratings", "movies", "users", "enriched_ratings"):
             if self.table(name).exists:
                 t = self.read(name)
                 (self.base / "reports" / f"{name}.html").write_text(reports.profile_report(name, profile.column_profile(t), profile.top_values(t)))
@@ -102,8 +138,8 @@ class Pipeline:
 
     def run(self, retry: flow.Retry | None = None) -> list[flow.TaskRun]:
         """The whole flow; its records go to the log and the monitoring page."""
-        count = lambda name: lambda _: self.inputs(name).agg(F.count(F.lit(1))).first()[0]
-        steps = {f"ingest_{n}": count(n) for n in ("ratings", "movies", "users")}
+        ingest = lambda name: lambda _: self.ingest(name)
+        steps = {f"ingest_{n}": ingest(n) for n in SCHEMAS}
         steps |= {n: getattr(self, n) for n in ("clean", "quality", "analytics", "incremental", "monitoring")}
         runs = flow.standard_flow(steps, retry=retry).execute()
         log = flow.RunLog(self.base / "state" / "runs")

@@ -21,7 +21,7 @@ MAX_ROWS = 10_000_000
 
 @dataclass(frozen=True)
 class Rule:
-    """``kind``: not_null, between, in_set, unique, row_count, column_exists, max_null_pct or max_duplicate_pct."""
+    """``kind``: not_null, between, in_set, unique, row_count, column_exists, max_null_pct or max_duplicate_pct.  Others are measured by their caller."""
 
     kind: str
     columns: tuple[str, ...] = ()

@@ -177,3 +177,26 @@ def test_the_run_keeps_the_history_of_users(spark, tmp_path):
     rows = lambda df: sorted(map(tuple, df.select(*sorted(want.columns)).collect()), key=str)
     assert rows(got) == rows(want)
     assert got.filter("NOT is_current").count() > 0 and not got.filter("is_current").groupBy("user_id").count().filter("count > 1").count()
+
+
+def test_the_run_lands_files_and_reports_orphans(landing, spark, tmp_path):
+    from millrace.plans.pipeline import Pipeline
+
+    folder = tmp_path / "drop"
+    folder.mkdir()
+    (folder / "a.csv").write_text("user_id,movie_id,rating,rated_at\n1,2,3.5,2024-01-01\n9,2,3.5,2024-01-01\n")
+    (folder / "broken.csv").write_text("user_id,movie_id,rating,rated_at\nx,y,z\n")
+    movies = spark.createDataFrame([(1, 2, "m", "Drama", 2000, "en", "US", "2024-01-01")], "row_id bigint, movie_id int, title string, genres string, year int, language string, country string, ingestion_timestamp string")
+    users = spark.createDataFrame([(1, "2024-01-01", 1, "2024-01-01", "US", "lite", "2024-01-01")], "row_id bigint, snapshot_date string, user_id bigint, signup_date string, country string, plan string, ingestion_timestamp string")
+    tables = {"movies": movies.withColumn("ingestion_timestamp", F.to_timestamp("ingestion_timestamp")), "users": users.withColumns({"snapshot_date": F.to_date("snapshot_date"), "ingestion_timestamp": F.to_timestamp("ingestion_timestamp")})}
+
+    def inputs(name):
+        return files.read_landed(spark, landing.base, "files", name).withColumn("row_id", F.col("user_id").cast("bigint")) if name == "ratings" else tables[name]
+
+    p = Pipeline(spark, tmp_path / "base", inputs, landing=landing, folders={"ratings": str(folder)})
+    runs = {r.task: r for r in p.run(flow.Retry(0))}
+    assert {r.status for r in runs.values()} == {"success"}, runs
+    assert runs["ingest_ratings"].rows == 2 and len(landing.quarantine.errors()) == 1 and p.ingest("ratings") == 0
+    assert [(o.rule.columns, o.failed_count) for o in p.references().outcomes] == [(("user_id",), 1), (("movie_id",), 0)]
+    assert not p.landed().ok and "broken.csv" in p.landed().outcomes[0].details
+    assert "ratings_references" in (tmp_path / "base" / "quality" / "dashboard.html").read_text() and (tmp_path / "base" / "reports" / "enriched_ratings.html").exists()
