@@ -103,6 +103,61 @@ TWIN_CHARS = set(_TO_LATIN) | set(TWINS)
 FOREIGN_TWIN = _char_class([ord(c) for c in _TO_LATIN])
 
 
+# The letter without a small form of its own shape: its case is no link, only its looks are.
+_PALOCHKA = "ӀӏӏӀ"
+
+
+def _classes() -> dict[str, str]:
+    """Letters to one representative of all that differ from it in case or in script alone.
+
+    Links of case and of shape are followed to their end, so that it does not matter which
+    is undone first.  Latin letters are their own small forms.
+    """
+    link: dict[str, str] = {}
+
+    def root(c: str) -> str:
+        while link.get(c, c) != c:
+            c = link[c]
+        return c
+
+    def rank(c: str) -> tuple:
+        return (script(c) != LATIN, not c.islower(), c)
+
+    def join(a: str, b: str) -> None:
+        a, b = sorted((root(a), root(b)), key=rank)
+        link[b] = a
+        link.setdefault(a, a)
+
+    for o in range(0x80, 0x2000):
+        c = chr(o)
+        if c.isalpha() and c not in _PALOCHKA and script(c) in (CYRILLIC, GREEK) and len(ud.normalize("NFD", c)) == 1:
+            for d in (c.lower(), c.upper()):
+                if len(d) == 1 and d.isalpha():
+                    join(c, d)
+    for a, ts in TWINS.items():
+        join(a, a.lower())
+        for t in ts:
+            join(a, t)
+    return {c: root(c) for c in link if root(c) != c}
+
+
+_CLASS = _classes()
+for _o in range(0xC0, 0x2000):  # letters that stand for a letter and its marks
+    _parts = ud.normalize("NFD", chr(_o))
+    if len(_parts) > 1 and _parts[0] in _CLASS:
+        _CLASS[chr(_o)] = ud.normalize("NFC", _CLASS[_parts[0]] + _parts[1:])
+_FOLD = str.maketrans(_CLASS)
+#: Letters of formulas, common enough in any text to be replaced, once lower-cased, without a look at each character; in capitals the sharp s is two letters.
+COMMON = {c: _CLASS[c] for c in "αβημστ"} | {"ß": "ss"}
+#: RE2 class of letters whose representative is neither their lower case nor what COMMON makes of it.
+ODD_CASE = _char_class([ord(c) for c, r in _CLASS.items() if COMMON.get(c.lower(), c.lower()) != r])
+
+
+def fold_shape(text: str) -> str:
+    """Letters by the representative of their class: with COMMON replaced in lower case, texts that differ in case or in equal shapes are equal."""
+    return ud.normalize("NFC", ud.normalize("NFC", text).translate(_FOLD))
+
+
 def one_form(text: str) -> str:
     """The text with widths, blanks, hyphens, joined letters, accents and signs in one form, and without what shows nothing.
 

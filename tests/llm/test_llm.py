@@ -69,7 +69,8 @@ def test_fm_index_finds_and_locates_all_occurrences(seq, m):
     seq = np.array(seq * 2, np.int64)
     full = np.r_[seq + 1, 0]
     assert suffix_array(full, 3).tolist() == sorted(range(len(full)), key=lambda i: full[i:].tolist())
-    fm = FMIndex(seq, 4, every=4)
+    fm = FMIndex.build(seq, 4, every=4)
+    fm = FMIndex.unpacked(len(seq), 4, *fm.packed())
     patterns = np.random.default_rng(0).integers(1, 5, (8, m))
     lo, hi = fm.search(patterns)
     for p, a, b in zip(patterns, lo, hi, strict=True):
@@ -114,6 +115,40 @@ def test_leaks_match_brute_force_over_small_shards_and_passes(spark):
     assert got == want and want
 
 
+def test_leaks_in_other_scripts_in_either_case(spark):
+    ru = "вода в насосе остаётся холодной а корпус и вал машины стоят на месте весь день у дома"
+    gr = "το νερό στην αντλία μένει κρύο και ο άξονας της μηχανής είναι σταθερός όλη τη μέρα εδώ"
+    de = "Die Größe der Straße und das Maß der Füße bleiben stets außen gleich groß bis zum Schluß der Messung"
+    for item in (ru, gr, de):
+        docs = [(1, item), (2, "before " + item.upper() + " after"), (3, item.title()), (4, item.translate({ord(t): a for a, ts in cf.TWINS.items() for t in ts})), (5, item.upper().translate({ord(t): a for a, ts in cf.TWINS.items() for t in ts}))]
+        assert {d for d, *_ in _leaks(spark, docs, [(7, item)])} == {1, 2, 3, 4, 5}
+        assert {d for d, *_ in _leaks(spark, docs[:1], [(7, item.upper())])} == {1}
+
+
+def test_case_and_shape_are_folded_for_every_twin():
+    same = lambda *c: len(set(leakage.folded(pa.array(c)).to_pylist())) == 1
+    for a, twins in cf.TWINS.items():
+        for t in twins:
+            assert same(a, t), (a, t)
+            if t not in cf._PALOCHKA:  # its small form looks like another letter than its capital
+                assert same(a, a.lower(), a.upper(), t.lower(), t.upper()), (a, t)
+    greek = [chr(o) for o in range(0x391, 0x3CA) if chr(o).isalpha()]
+    assert all(same(c, c.lower(), c.upper()) for c in greek + [chr(o) for o in range(0x410, 0x450)])
+    assert not same("o", "e") and not same("é", "e") and same("É", "é", "É") and same("ё", "Ё", "Ë")
+
+
+def test_an_index_is_searched_for_any_items(spark, tmp_path):
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(words[i : i + 20])) for i in range(20)], "doc_id bigint, text string")
+    leakage.build_index(docs, "doc_id", "text", shard_words=60).write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    for lo in (0, 7, 25):
+        items = spark.createDataFrame([(lo, " ".join(words[lo : lo + 14]))], "item_id bigint, text string")
+        for bound in (1 << 20, 10):
+            got = {r["id"] for r in leakage.search_index(index, items, "item_id", "text", bytes_per_pass=bound).collect()}
+            assert got == {i for i in range(20) if min(i + 20, lo + 14) - max(i, lo) >= 13}
+
+
 def test_nothing_to_search(spark):
     assert _leaks(spark, [], [(1, "a b c")], min_words=2) == []
     assert _leaks(spark, [(1, "a b c")], [], min_words=2) == []
