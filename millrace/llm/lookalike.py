@@ -17,10 +17,10 @@ from __future__ import annotations
 
 import re
 import unicodedata as ud
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import charforms as cf
-from millrace.session import shared_dir
+from millrace.session import written
 
 #: Letters with the marks that stand on them, which a foreign letter keeps apart from itself.
 _TOKEN = re.compile(r"(?:[^\W\d_][\u0300-\u036f]*)+")
@@ -38,10 +38,13 @@ _NOT_LETTERS = r"[^\p{L}\p{M}]+"
 _SLICE_BYTES = 16 << 20
 
 
+def _signed(v: int) -> tuple[int, int]:
+    return (v >> 64) - (1 << 63), (v & (1 << 64) - 1) - (1 << 63)
+
+
 def hash_pair(text: str) -> tuple[int, int]:
     """128 bits of the text as two signed numbers."""
-    v = xxhash.xxh3_128_intdigest(text.encode("utf-8", "surrogatepass"))
-    return (v >> 64) - (1 << 63), (v & (1 << 64) - 1) - (1 << 63)
+    return _signed(xxhash.xxh3_128_intdigest(text.encode("utf-8", "surrogatepass")))
 
 
 def suspects(text: str) -> dict[str, list[str]]:
@@ -112,47 +115,51 @@ _SCAN_ARROW = pa.schema(
 )
 
 
+def _bytes_of(texts: pa.Array) -> Iterator[memoryview]:
+    """The bytes of each text where they lie in the Arrow buffer; of a null none."""
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1].tolist()
+    data = memoryview(texts.buffers()[2] or b"")
+    return (data[a:b] for a, b in zip(ends, ends[1:], strict=False))
+
+
+def _flags(texts: pa.Array, pattern: str) -> np.ndarray:
+    return pc.fill_null(pc.match_substring_regex(texts, pattern), False).to_numpy(zero_copy_only=False)
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for b in _slices(whole, "text"):
-            texts = b["text"]
-            change = pc.match_substring_regex(texts, cf.NEEDS_FORM).to_pylist()
-            foreign = pc.match_substring_regex(texts, cf.FOREIGN_TWIN).to_pylist()
-            rows, words = [], []
-            for doc, text, c, f in zip(b["id"].to_pylist(), texts.to_pylist(), change, foreign, strict=True):
-                if text is None:
-                    continue
-                form = cf.one_form(text) if c else text
-                found = suspects(form) if f or (c and form != text) else {}
-                raw = hash_pair(text)
-                key = (None, None) if found else hash_pair(form) if c else raw
+        for part in _slices(whole, "text"):
+            b = part.filter(pc.is_valid(part["text"]))
+            texts, ids = b["text"], b["id"].to_pylist()
+            change, foreign = _flags(texts, cf.NEEDS_FORM), _flags(texts, cf.FOREIGN_TWIN)
+            raw = [_signed(xxhash.xxh3_128_intdigest(x)) for x in _bytes_of(texts)]
+            key, form, tokens = list(raw), [None] * len(raw), [None] * len(raw)
+            changed, looked, words = np.zeros(len(raw), bool), np.flatnonzero(change | foreign), []
+            for i, text in zip(looked.tolist(), texts.take(pa.array(looked)).to_pylist(), strict=True):
+                one = cf.one_form(text) if change[i] else text
+                changed[i] = one != text
+                found = suspects(one) if foreign[i] or changed[i] else {}
                 if found:
-                    tokens = [{"token": t, "readings": r} for t, r in found.items()]
-                    words.append(_TOKEN.sub(lambda m: " " if m[0] in found else m[0], form))  # noqa: B023
-                elif c:
-                    words.append(form)
-                rows.append((None, doc, *raw, *key, form != text, form if found else None, tokens if found else None))
-            plain = texts.filter(pc.invert(pc.or_(pa.array(change, pa.bool_()), pa.array([r is not None and r for r in foreign], pa.bool_()))))
-            own = {r[1] for r in rows if r[7] is not None}
-            clean = [t for d, t, c, f in zip(b["id"].to_pylist(), texts.to_pylist(), change, foreign, strict=True) if f and not c and d not in own]
-            vocabulary = words_of(pa.concat_arrays([plain.cast(pa.string()), pa.array(words + clean, pa.string())]))
-            cols = list(zip(*rows, strict=True)) or [[] for _ in _SCAN_ARROW]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, _SCAN_ARROW, strict=True)], schema=_SCAN_ARROW)
-            n = len(vocabulary)
-            yield pa.RecordBatch.from_arrays([vocabulary.cast(pa.string()), *[pa.nulls(n, f.type) for f in list(_SCAN_ARROW)[1:]]], schema=_SCAN_ARROW)
-
-
-def _written(df: DataFrame, what: str) -> DataFrame:
-    """The rows by way of a table in the shared folder, which survives the loss of executors."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+                    key[i], form[i] = (None, None), one
+                    tokens[i] = [{"token": t, "readings": r} for t, r in found.items()]
+                elif changed[i]:
+                    key[i] = hash_pair(one)
+                # words of suspect tokens are no evidence
+                words.append(_TOKEN.sub(lambda m: " " if m[0] in found else m[0], one) if found else one)  # noqa: B023
+            plain = texts.filter(pa.array(~(change | foreign))).cast(pa.string())
+            vocabulary = words_of(pa.concat_arrays([plain, pa.array(words, pa.string())]))
+            n, m = len(raw), len(vocabulary)
+            cols = [pa.nulls(n, pa.string()), ids, *zip(*raw, strict=True), *zip(*key, strict=True)] if n else [[]] * 6
+            cols = [pa.array(c, f.type) for c, f in zip([*cols, changed, form, tokens], _SCAN_ARROW, strict=True)]
+            yield pa.RecordBatch.from_arrays(cols, schema=_SCAN_ARROW)
+            yield pa.RecordBatch.from_arrays([vocabulary.cast(pa.string()), *[pa.nulls(m, f.type) for f in list(_SCAN_ARROW)[1:]]], schema=_SCAN_ARROW)
 
 
 def scan(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One pass over the texts: rows of words, and a row per non-null text (see the module)."""
     x = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return _written(x.mapInArrow(_scan, _SCAN), "lookalike")
+    return written(x.mapInArrow(_scan, _SCAN), "lookalike")
 
 
 def decide(scanned: DataFrame) -> DataFrame:
@@ -194,7 +201,8 @@ def canonical(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     comparison; texts look the same exactly if their keys are equal.  ``canonical`` is the
     repaired text of texts with suspect tokens, null for others, whose canonical text is
     ``charforms.one_form``.  ``repaired`` and ``undecided`` count distinct suspect tokens.
-    Ids are expected to be unique; null texts give no row, empty ones are texts.
+    Ids are expected to be unique; null texts give no row, empty ones are texts.  The result
+    is computed whenever it is read: written first, texts are repaired once.
     """
     s = scan(df, id_col, text_col)
     docs = s.filter(F.col("id").isNotNull())
@@ -207,21 +215,32 @@ def canonical(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return plain.unionByName(done)
 
 
-def same_look_pairs(keys: DataFrame) -> DataFrame:
-    """``doc_id_a, doc_id_b``: texts that look the same and are not the same.
+_LOOK, _SPELLING = ["key_hi", "key_lo"], ["raw_hi", "raw_lo"]
+#: Members of a look that meet the others of it in one task at most.
+MEMBERS_PER_SLICE = 2_000
+
+
+def look_classes(keys: DataFrame) -> DataFrame:
+    """One row per text whose look has several spellings: ``id, look, spelling, members`` and the hashes.
+
+    ``look`` and ``spelling`` are the smallest id of the texts that look the same, and of
+    those that are the same; ``members`` counts the texts of the look.  Counts are made per
+    spelling before they are shuffled, so that copies do not gather.
+    """
+    spellings = keys.groupBy(*_LOOK, *_SPELLING).agg(F.min("id").alias("spelling"), F.count(F.lit(1)).alias("_n"))
+    looks = spellings.groupBy(*_LOOK).agg(F.min("spelling").alias("look"), F.sum("_n").alias("members"), F.count(F.lit(1)).alias("_s")).filter("_s > 1").drop("_s")
+    classes = spellings.drop("_n").join(looks, _LOOK)
+    return keys.select("id", *_LOOK, *_SPELLING).join(classes, [*_LOOK, *_SPELLING]).select("id", "look", "spelling", "members")
+
+
+def same_look_pairs(classes: DataFrame, members_per_slice: int = MEMBERS_PER_SLICE) -> DataFrame:
+    """``doc_id_a, doc_id_b``: texts that look the same and are not the same, of ``look_classes``.
 
-    Works on distinct texts: a look with one spelling makes no pairs, however many copies;
-    copies are expanded only against copies of another spelling, which is the result itself.
+    A look with many members is cut: each slice of it meets all others of the look in tasks
+    of its own.  Repeated texts make no pairs with each other.
     """
-    spelling = ["key_hi", "key_lo", "raw_hi", "raw_lo"]
-    distinct = keys.groupBy(*spelling).agg(F.min("id").alias("first"))
-    looks = distinct.groupBy("key_hi", "key_lo").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key_hi", "key_lo")
-    rare = keys.join(looks, ["key_hi", "key_lo"]).select("id", *spelling)
-    reps = distinct.join(looks, ["key_hi", "key_lo"]).select(*spelling)
-    a = reps.select("key_hi", "key_lo", F.col("raw_hi").alias("a_hi"), F.col("raw_lo").alias("a_lo"))
-    b = reps.select("key_hi", "key_lo", F.col("raw_hi").alias("b_hi"), F.col("raw_lo").alias("b_lo"))
-    p = a.join(b, ["key_hi", "key_lo"]).filter("a_hi < b_hi or (a_hi = b_hi and a_lo < b_lo)")
-    left = rare.select(F.col("id").alias("i"), F.col("raw_hi").alias("a_hi"), F.col("raw_lo").alias("a_lo"), "key_hi", "key_lo")
-    right = rare.select(F.col("id").alias("j"), F.col("raw_hi").alias("b_hi"), F.col("raw_lo").alias("b_lo"), "key_hi", "key_lo")
-    x = p.join(left, ["key_hi", "key_lo", "a_hi", "a_lo"]).join(right, ["key_hi", "key_lo", "b_hi", "b_lo"])
-    return x.select(F.least("i", "j").alias("doc_id_a"), F.greatest("i", "j").alias("doc_id_b"))
+    slices = F.ceil(F.col("members") / members_per_slice).cast("int")
+    left = classes.select(F.col("id").alias("i"), F.col("spelling").alias("a"), "look", F.pmod(F.xxhash64("id"), slices.cast("bigint")).cast("int").alias("slice"))
+    right = classes.select(F.col("id").alias("j"), F.col("spelling").alias("b"), "look", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
+    x = left.join(right, ["look", "slice"]).filter("i < j and a != b")
+    return x.select(F.col("i").alias("doc_id_a"), F.col("j").alias("doc_id_b"))

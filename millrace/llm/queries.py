@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import leakage, lookalike, packing
+from millrace.session import written
 from millrace.util import table
 
 
@@ -33,16 +34,29 @@ def p9_spans(spark: SparkSession, sf: str) -> DataFrame:
     return _spans(spark, sf).select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "first_word", "last_word")
 
 
+def _canonical(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike.canonical(table(spark, sf, "documents"), "doc_id", "text")
+
+
+def _classes(spark: SparkSession, sf: str) -> DataFrame:
+    keys = written(_canonical(spark, sf).select("id", "raw_hi", "raw_lo", "key_hi", "key_lo"), "looks")
+    return lookalike.look_classes(keys)
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
-    return lookalike.same_look_pairs(lookalike.canonical(table(spark, sf, "documents"), "doc_id", "text"))
+    return lookalike.same_look_pairs(written(_classes(spark, sf), "look-classes"))
+
+
+def p10_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per document whose look has several spellings, with the class of its look and that of its spelling."""
+    return _classes(spark, sf).select(F.col("id").alias("doc_id"), F.col("look").alias("look_id"), F.col("spelling").alias("spelling_id"))
 
 
 def p10_repairs(spark: SparkSession, sf: str) -> DataFrame:
     """Documents whose text is not in its one form, with what was repaired and what stayed undecided."""
-    c = lookalike.canonical(table(spark, sf, "documents"), "doc_id", "text")
-    return c.filter(F.col("changed")).select(F.col("id").alias("doc_id"), "repaired", "undecided")
+    return _canonical(spark, sf).filter(F.col("changed")).select(F.col("id").alias("doc_id"), "repaired", "undecided")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p8_pack, p8_fill, p9_found, p9_spans, p10_found, p10_repairs)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p8_pack, p8_fill, p9_found, p9_spans, p10_found, p10_classes, p10_repairs)}
 #: None of them can be said in SQL over whole tables; tests/llm holds them against brute force.
 SQL: dict[str, str] = {}

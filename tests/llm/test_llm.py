@@ -188,7 +188,7 @@ def test_suspect_tokens_and_their_readings():
 def _pairs(spark, docs):
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
     rows = lookalike.canonical(df, "doc_id", "text").collect()
-    got = {(r["doc_id_a"], r["doc_id_b"]) for r in lookalike.same_look_pairs(lookalike.canonical(df, "doc_id", "text")).collect()}
+    got = {(r["doc_id_a"], r["doc_id_b"]) for r in lookalike.same_look_pairs(lookalike.look_classes(lookalike.canonical(df, "doc_id", "text")), members_per_slice=3).collect()}
     return {r["id"]: r for r in rows}, got
 
 
@@ -231,4 +231,11 @@ def test_pairs_of_random_disguises_match_brute_force(spark):
 
 def test_no_texts(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
-    assert lookalike.same_look_pairs(lookalike.canonical(df, "doc_id", "text")).count() == 0
+    assert lookalike.same_look_pairs(lookalike.look_classes(lookalike.canonical(df, "doc_id", "text"))).count() == 0
+
+
+def test_classes_of_looks(spark):
+    docs = [(1, "same"), (2, "sаme"), (3, "same"), (4, "sаme"), (5, "other"), (6, "other")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    rows = lookalike.look_classes(lookalike.canonical(df, "doc_id", "text")).collect()
+    assert sorted(tuple(r) for r in rows) == [(1, 1, 1, 4), (2, 1, 2, 4), (3, 1, 1, 4), (4, 1, 2, 4)]
