@@ -15,7 +15,6 @@ import base64
 import bisect
 import functools
 import os
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.lookalike import _slices
-from millrace.session import shared_dir
+from millrace.session import written
 
 CAPACITY = 2048
 OPEN_WINDOWS = 64
@@ -150,9 +149,7 @@ def pack(
     once.
     """
     x = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    path = f"{shared_dir(df.sparkSession)}/pieces-{uuid.uuid4().hex}"
-    x.mapInArrow(_pack(tokenizer, capacity, open_windows), _PIECES).write.parquet(path)
-    pieces = df.sparkSession.read.parquet(path)
+    pieces = written(x.mapInArrow(_pack(tokenizer, capacity, open_windows), _PIECES), "pieces")
     left = pieces.filter("left").select("window", "fill").distinct()
     group = F.shiftright(F.col("window"), 32) / tasks_per_merge
     merged = left.groupBy(F.floor(group).alias("g")).applyInArrow(_merge(capacity, open_windows), "window bigint, merged bigint")
