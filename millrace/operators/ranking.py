@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.session import written
-from millrace.util import range_key
+from millrace.util import range_key, slices_for
 
 
 def deduplicate(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """Of each key the row that comes first in ``order``.  Null keys are a key like others.
 
-    ``order`` must end in a unique column, or which of equal rows stays is undefined.
+    ``order`` must end in a unique column, or which of equal rows stays is undefined.  The
+    planner keeps one row per key of each task before the shuffle (WindowGroupLimit), so that
+    a key with a large part of all rows does not gather them.
     """
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
@@ -31,25 +33,32 @@ def top_overall(df: DataFrame, order: Sequence[Column], n: int, rank: str) -> Da
     return df.orderBy(*order).limit(n).withColumn(rank, F.row_number().over(W.orderBy(*order)))
 
 
-def _stats(df: DataFrame, keys: Sequence[str], tie: str, parts: int) -> tuple[int, dict[str, list]]:
-    """Row count and the quantiles of each key and of ``tie``, in one aggregate of mergeable sketches."""
-    acc, steps = max(1000, parts * 50), [i / parts for i in range(1, parts)]
-    aggs = [F.percentile_approx(F.col(c), steps, acc).alias(f"q{i}") for i, c in enumerate([*keys, tie])]
+#: Ranges that the order of a key is cut into at most, and the rows that one is meant to hold.
+RANGES = 256
+ROWS_PER_RANGE = 500_000
+
+
+def _stats(df: DataFrame, keys: Sequence[str], tie: str, rows_per_range: int) -> tuple[int, dict[str, list]]:
+    """Row count and the inner quantiles of each key and of ``tie``, in one aggregate of mergeable sketches."""
+    steps = [i / RANGES for i in range(1, RANGES)]
+    aggs = [F.percentile_approx(F.col(c), steps, RANGES * 50).alias(f"q{i}") for i, c in enumerate([*keys, tie])]
     r = df.agg(F.count(F.lit(1)).alias("n"), *aggs).first()
-    return r["n"], {c: r[f"q{i}"] or [] for i, c in enumerate([*keys, tie])}
+    parts = min(RANGES, slices_for(r["n"], rows_per_range))
+    pick = lambda q: [q[j * RANGES // parts - 1] for j in range(1, parts)] if q else []
+    return r["n"], {c: pick(r[f"q{i}"]) for i, c in enumerate([*keys, tie])}
 
 
-def global_row_numbers(df: DataFrame, keys: Mapping[str, str], tie: str, parts: int | None = None) -> tuple[int, DataFrame]:
+def global_row_numbers(df: DataFrame, keys: Mapping[str, str], tie: str, rows_per_range: int = ROWS_PER_RANGE) -> tuple[int, DataFrame]:
     """The number of rows, and ``df`` with the 1-based place of each row in the order of (key, tie) for each ``name: key``.
 
     Keys and tie are numeric; nulls come first.  Rows are cut into ranges of the key by a
     quantile sketch; a value that fills several ranges by itself is cut on by ``tie``.  Rows
     are numbered within ranges, each in its own task, and shifted by the size of the
-    ranges before, a few numbers.
+    ranges before: at most RANGES squared numbers, a table that is joined on the range by
+    which the rows are laid out already.
     """
-    parts = parts or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     base = x = written(df, "ranked")
-    n, quantiles = _stats(base, sorted(set(keys.values())), tie, parts)
+    n, quantiles = _stats(base, sorted(set(keys.values())), tie, rows_per_range)
     ts = sorted(set(quantiles[tie]))
     for name, key in keys.items():
         ks = quantiles[key]
@@ -57,27 +66,16 @@ def global_row_numbers(df: DataFrame, keys: Mapping[str, str], tie: str, parts:
         fine = F.when(F.col(key).isin(heavy), F.coalesce(range_key(F.col(tie), ts), F.lit(0)) + 1).otherwise(0) if heavy else F.lit(0)
         rng = F.coalesce(range_key(F.col(key), sorted(set(ks))), F.lit(-1)) * (len(ts) + 2) + fine
         # sizes come from the written rows, not from the numbering of the key before
-        sizes = rows_before(df.sparkSession, base, rng)
+        sizes = base.groupBy(rng.alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
+        before = sizes.select("_r", F.coalesce(F.sum("_n").over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
         place = F.row_number().over(W.partitionBy("_r").orderBy(F.col(key).asc_nulls_first(), F.col(tie).asc_nulls_first()))
-        y = x.withColumn("_r", rng).withColumn("_i", place)
-        # at most (parts + 1) * (parts + 2) rows, by construction
-        x = y.join(F.broadcast(sizes), y["_r"] == sizes["_s"]).withColumn(name, F.col("_i") + F.col("_before")).drop("_r", "_s", "_i", "_before")
+        x = x.withColumn("_r", rng).withColumn("_i", place).join(before, "_r").withColumn(name, F.col("_i") + F.col("_before")).drop("_r", "_i", "_before")
     return n, x
 
 
-def rows_before(spark: SparkSession, rows: DataFrame, rng: Column) -> DataFrame:
-    """``_s, _before``: per range how many rows lie in ranges before it."""
-    sizes = sorted((r["_s"], r["n"]) for r in rows.groupBy(rng.alias("_s")).agg(F.count(F.lit(1)).alias("n")).collect())
-    before, at = [], 0
-    for s, n in sizes:
-        before.append((s, at))
-        at += n
-    return spark.createDataFrame(before, "_s int, _before bigint")
-
-
-def global_ntiles(df: DataFrame, keys: Mapping[str, str], tie: str, k: int) -> DataFrame:
+def global_ntiles(df: DataFrame, keys: Mapping[str, str], tie: str, k: int, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """``ntile(k)`` over all rows in the order of (key, tie) for each ``name: key``: the first ``rows mod k`` tiles are one longer."""
-    n, x = global_row_numbers(df, {f"_place_{name}": key for name, key in keys.items()}, tie)
+    n, x = global_row_numbers(df, {f"_place_{name}": key for name, key in keys.items()}, tie, rows_per_range)
     small, extra = divmod(n, k)
     head = extra * (small + 1)
     for name in keys:
@@ -87,5 +85,5 @@ def global_ntiles(df: DataFrame, keys: Mapping[str, str], tie: str, k: int) -> D
     return x
 
 
-def global_ntile(df: DataFrame, key: str, tie: str, k: int, name: str) -> DataFrame:
-    return global_ntiles(df, {name: key}, tie, k)
+def global_ntile(df: DataFrame, key: str, tie: str, k: int, name: str, **options) -> DataFrame:
+    return global_ntiles(df, {name: key}, tie, k, **options)

@@ -76,7 +76,7 @@ class Pipeline:
         self._write("users_scd2", upsert.scd2_from_snapshots(self.read("users_snapshots"), "user_id", "snapshot_date", ["plan", "country"]))
         self._write("genres", star.movie_genres(self.read("movies")))
         self._write("enriched_ratings", star.enriched_ratings(self.read("ratings"), self.read("movies"), self.read("users")))
-        self._write("fact_ratings", star.fact_ratings(self.read("enriched_ratings")))
+        self._write("fact_ratings", star.fact_ratings(self.read("ratings"), self.read("users")))
         return n
 
     def quality(self, _: Mapping | None = None, notify: bool = True) -> int:

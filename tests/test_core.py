@@ -46,7 +46,7 @@ def test_global_ntile_equals_the_window_function(spark, n, hot):
     rnd = random.Random(n)
     rows = [(i, 5 if hot and i % 3 else rnd.choice([None, *range(20)])) for i in range(n)]
     df = spark.createDataFrame(rows, "id bigint, k bigint")
-    got = {r["id"]: r["t"] for r in ranking.global_ntile(df, "k", "id", 5, "t").collect()}
+    got = {r["id"]: r["t"] for r in ranking.global_ntile(df, "k", "id", 5, "t", rows_per_range=40).collect()}
     order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
     small, extra = divmod(n, 5)
     want = {}
@@ -69,6 +69,22 @@ def test_results_do_not_depend_on_partitions(spark):
 # --- star and metrics
 
 
+def test_facts_read_no_movies_and_metrics_no_users(spark):
+    r = spark.createDataFrame([(1, 1, 10, 4.0, dt.datetime(2024, 1, 1))], "row_id long, user_id int, movie_id int, rating double, rated_at timestamp")
+    u = spark.createDataFrame([(1, "free", "US", dt.date(2023, 1, 1))], "user_id long, plan string, country string, signup_date date")
+    fact = star.fact_ratings(r, u)
+    assert fact.columns == list(star.FACT) and fact.first()["days_since_signup"] == 365
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(fact).count("Join") == 1 and "Join" not in plan(metrics.daily_engagement(star.keyed_facts(r)))
+    assert plan(metrics.daily_kpis(star.keyed_facts(r))).count("Join") == 1  # of the days with their newcomers
+
+
+def test_the_latest_row_is_taken_before_the_shuffle(spark):
+    r = spark.range(100).select((F.col("id") % 3).alias("k"), "id")
+    plan = ranking.deduplicate(r, ["k"], [F.col("id").desc()])._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.rindex("WindowGroupLimit") > plan.index("Exchange")
+
+
 def test_genres(spark):
     df = spark.createDataFrame([(1, "Action|Comedy"), (2, "Drama"), (2, "Drama|"), (3, None), (4, "")], "movie_id int, genres string")
     assert star.movie_genres(df).count() == 3
