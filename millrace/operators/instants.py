@@ -7,7 +7,10 @@ them.  The posterior picks the reading; a text whose best reading stays under
 
 ``fit`` needs only counts of (source, set of readings), so what it iterates over is one
 small row per source and kind of text whatever the number of rows; the iteration runs per
-source in ``applyInPandas``.  ``transform`` is a chain of Catalyst expressions.
+source in ``applyInPandas``.  ``transform`` is a chain of Catalyst expressions.  What is
+fitted, a row per source and kind of text, is written to the shared folder, where the
+planner sees its size.  ``with_instants`` also writes the readings, so that texts are parsed
+once for both steps.
 """
 
 from __future__ import annotations
@@ -21,10 +24,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions import timeparse as tp
 from millrace.functions.timeparse import READINGS
-from millrace.util import within_bound
+from millrace.session import written
 
 IMPLAUSIBLE_LIKELIHOOD = 1e-6
-MAX_MODEL_ROWS = 50_000
 _ORDERS = {"MDY": 1, "DMY": 2, "YMD": 4}
 _WORK = [f"_mr_{c}" for c in ("t", "sig", "choice", "posterior", "wall", "at")]
 
@@ -93,7 +95,10 @@ class TimestampModel:
         Names that start with ``_mr_`` are the operator's own.
         """
         df = df.drop(*[c for c in df.columns if c.lower() in ("utc_us", "reading") and c not in (self.text_col, self.source_col, self.zone_col, self.order_col)])
-        x = with_readings(df, self.text_col, self.order_col)
+        return self.resolve(with_readings(df, self.text_col, self.order_col), date_only)
+
+    def resolve(self, x: DataFrame, date_only: bool = False) -> DataFrame:
+        """``transform`` of rows that have their readings (``with_readings``)."""
         src = F.coalesce(F.col(self.source_col).cast("string"), F.lit("\x00none"))
         c = self.choices
         cond = (src == c["_mr_src"]) & (x["_mr_sig"] == c["_mr_csig"])
@@ -140,21 +145,24 @@ def fit(
     others the fit decides.  A null source is a source of its own.  An empty ``df`` gives a
     model under which every text is ambiguous or unreadable.
     """
-    spark = df.sparkSession
     x = with_readings(df.filter(F.col(text_col).isNotNull()), text_col, order_col)
+    return fit_readings(x, text_col, source_col, zone_col, order_col, min_posterior, prior, rounds, tol)
+
+
+def fit_readings(
+    x: DataFrame, text_col: str, source_col: str, zone_col: str | None = None, order_col: str | None = None,
+    min_posterior: float = 0.9, prior: float = 0.01, rounds: int = 200, tol: float = 1e-9,
+) -> TimestampModel:
+    """``fit`` over rows that have their readings (``with_readings``)."""
     src = F.coalesce(F.col(source_col).cast("string"), F.lit("\x00none"))
-    counts = x.select(src.alias("_mr_src"), "_mr_sig").groupBy("_mr_src", "_mr_sig").count()
+    counts = x.filter(F.col("_mr_sig") != 0).select(src.alias("_mr_src"), "_mr_sig").groupBy("_mr_src", "_mr_sig").count()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = _em({int(s): int(n) for s, n in zip(pdf["_mr_sig"], pdf["count"], strict=True) if s}, prior, rounds, tol)
+        got = _em({int(s): int(n) for s, n in zip(pdf["_mr_sig"], pdf["count"], strict=True)}, prior, rounds, tol)
         return pd.DataFrame([(pdf["_mr_src"].iloc[0], s, c, p) for s, (c, p) in got.items()], columns=["_mr_src", "_mr_csig", "_mr_choice", "_mr_posterior"])
 
-    schema = "_mr_src string, _mr_csig int, _mr_choice string, _mr_posterior double"
-    fitted = counts.groupBy("_mr_src").applyInPandas(one, schema)
-    rows = within_bound(fitted, MAX_MODEL_ROWS)
-    # as local rows the model's size is known to the planner, which broadcasts it if it is small; else it joins by shuffle
-    choices = fitted if rows is None else spark.createDataFrame(rows, schema)
-    return TimestampModel(choices, source_col, text_col, zone_col, order_col, min_posterior)
+    fitted = counts.groupBy("_mr_src").applyInPandas(one, "_mr_src string, _mr_csig int, _mr_choice string, _mr_posterior double")
+    return TimestampModel(written(fitted, "formats"), source_col, text_col, zone_col, order_col, min_posterior)
 
 
 def with_instants(df: DataFrame, feeds: DataFrame, text_col: str, date_only: bool = False, keep: list[str] | None = None, **options) -> DataFrame:
@@ -166,5 +174,6 @@ def with_instants(df: DataFrame, feeds: DataFrame, text_col: str, date_only: boo
     f = feeds.select(F.col("feed_id").alias("_mr_feed"), F.col("time_zone").alias("_mr_zone"), F.col("date_order").alias("_mr_order"))
     base = df.select(*cols, F.col("feed_id").alias("_mr_source"), F.col(text_col).alias("_mr_text"))
     x = base.join(f, base["_mr_source"] == f["_mr_feed"], "left").withColumn("_mr_zone", F.coalesce("_mr_zone", F.lit("UTC")))
-    model = fit(x, "_mr_text", "_mr_source", "_mr_zone", "_mr_order", **options)
-    return model.transform(x, date_only).select(*cols, "utc_us", "reading")
+    x = written(with_readings(x, "_mr_text", "_mr_order").drop("_mr_text", "_mr_feed", "_mr_order"), "readings")
+    model = fit_readings(x, "_mr_text", "_mr_source", "_mr_zone", **options)
+    return model.resolve(x, date_only).select(*cols, "utc_us", "reading")
