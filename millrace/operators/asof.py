@@ -4,23 +4,24 @@ Method: events and changes are co-grouped by entity; per group a vectorised bina
 finds the latest version valid and recorded by each event time.
 
 A group is a bucket of entities, so that a task searches many at once.  An entity with more
-than ``hot_share`` of the events (at most 1 / hot_share of them are) is spread over slices
-of events, each with a copy of its changes.  An entity with more than ``hot_share`` of the
-changes is likewise cut into slices of changes, each probed by its events; the best of the
-slices' answers is taken by an aggregate.
+events than half a bucket is spread over slices of events, each with a copy of its changes;
+one with that many changes is likewise cut into slices of changes, each probed by its
+events, and the best of the slices' answers is taken by an aggregate.  The bound is a number
+of rows, so that groups are bounded at every size of the data; the entities beyond it are a
+table, joined to both sides.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from millrace.util import heavy_keys, slices_for
+from millrace.session import written
+from millrace.util import slices_for
 
 ROWS_PER_BUCKET = 150_000
-HOT_SHARE = 0.005
 
 
 def _search(attrs: list[str]):
@@ -60,19 +61,7 @@ def _search(attrs: list[str]):
     return run
 
 
-def _slices(rows: DataFrame, total: int, share: float, size: int) -> dict[int, int]:
-    """Entities that take more than one slice, with how many: at most 1 / share of them."""
-    hot = heavy_keys(rows.select("key"), "key", total, share)
-    return {k: n for k, count in hot if (n := slices_for(count, size)) > 1}
-
-
-def _lookup(slices: dict[int, int]) -> Column:
-    if not slices:
-        return F.lit(1)
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in slices.items() for x in kv]), F.col("key")), F.lit(1))
-
-
-def as_known(events: DataFrame, known: DataFrame, attrs: list[str], rows_per_bucket: int = ROWS_PER_BUCKET, hot_share: float = HOT_SHARE, event_keys: DataFrame | None = None) -> DataFrame:
+def as_known(events: DataFrame, known: DataFrame, attrs: list[str], rows_per_bucket: int = ROWS_PER_BUCKET, event_keys: DataFrame | None = None) -> DataFrame:
     """``row_id, <attrs>`` of each event whose entity had a version recorded by then.
 
     ``events`` has ``row_id, key, at_us``; ``known`` has ``key, rec_us`` (when recorded),
@@ -86,22 +75,37 @@ def as_known(events: DataFrame, known: DataFrame, attrs: list[str], rows_per_buc
     e = events.filter(F.col("key").isNotNull() & F.col("at_us").isNotNull()).select("row_id", F.col("key").cast("bigint").alias("key"), "at_us")
     k = known.filter(F.col("key").isNotNull() & F.col("rec_us").isNotNull() & F.col("valid").isNotNull())
     k = k.select(F.col("key").cast("bigint").alias("key"), "rec_us", F.col("valid").cast("bigint").alias("valid"), F.col("tie").cast("bigint").alias("tie"), *attrs)
-    keys = e if event_keys is None else event_keys.filter(F.col("key").isNotNull()).select(F.col("key").cast("bigint").alias("key"))
-    n_events, n_known = keys.count(), k.count()
-    half = max(1, rows_per_bucket // 2)
-    by_event, by_change = _slices(keys, n_events, hot_share, half), _slices(k, n_known, hot_share, half)
-    buckets = slices_for(n_events + n_known, rows_per_bucket) + sum(by_event.values()) + sum(by_change.values())
-    ne, nk = _lookup(by_event), _lookup(by_change)
-    one = lambda c, n: F.pmod(F.xxhash64(c), n.cast("bigint")).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    group = F.pmod(F.xxhash64("key", "s", "c"), F.lit(buckets)).cast("int").alias("g")
+    keys = e if event_keys is None else event_keys
+    hot, rows, cut = hot_entities(keys, k, max(1, rows_per_bucket // 2))
+    buckets = F.lit(slices_for(rows, rows_per_bucket))
+    both = {"_ne": F.coalesce("_ne", F.lit(1)), "_nk": F.coalesce("_nk", F.lit(1))}
+    one = lambda c, n: F.pmod(F.xxhash64(c), F.col(n).cast("bigint")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    group = F.pmod(F.xxhash64("key", "s", "c"), buckets).cast("int").alias("g")
     # a pair of slices (of events, of changes) of an entity meets in one bucket; c tells slices of changes apart that share it
-    e = e.withColumn("s", one("row_id", ne)).select("*", every(nk).alias("c")).select("row_id", "key", "at_us", group)
-    k = k.withColumn("c", one("rec_us", nk)).select("*", every(ne).alias("s")).select("key", "rec_us", "valid", "tie", *attrs, group)
+    e = e.join(hot, "key", "left").withColumns(both).withColumn("s", one("row_id", "_ne")).select("*", every("_nk").alias("c")).select("row_id", "key", "at_us", group)
+    k = k.join(hot, "key", "left").withColumns(both).withColumn("c", one("rec_us", "_nk")).select("*", every("_ne").alias("s")).select("key", "rec_us", "valid", "tie", *attrs, group)
     schema = "row_id bigint, valid bigint, rec_us bigint, tie bigint, " + ", ".join(f"{a} string" for a in attrs)
     found = e.groupBy("g").cogroup(k.groupBy("g")).applyInArrow(_search(attrs), schema)
-    if by_change:
+    if cut:
         # slices of one entity may fall into one bucket, whose events then stand there more than once
         best = F.max(F.struct("valid", "rec_us", "tie", *attrs)).alias("b")
         found = found.groupBy("row_id").agg(best).select("row_id", "b.*")
     return found.select("row_id", *attrs)
+
+
+def hot_entities(events: DataFrame, known: DataFrame, bound: int) -> tuple[DataFrame, int, bool]:
+    """Entities with more than ``bound`` events or changes: ``key, _ne, _nk``, the slices each side is cut into.
+
+    Also the rows of both sides, slices' copies included, and whether any changes are cut.  The
+    table has at most rows / bound entries, and is written, so that the planner knows its size
+    and broadcasts it only if it is small.
+    """
+    side = lambda df, n: df.filter(F.col("key").isNotNull()).select(F.col("key").cast("bigint").alias("key"), F.lit(n).alias("_side"))
+    counts = side(events, 0).unionByName(side(known, 1)).groupBy("key").agg(F.count_if(F.col("_side") == 0).alias("n0"), F.count_if(F.col("_side") == 1).alias("n1"))
+    slices = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / bound)).cast("int")
+    seen = Observation()
+    watched = counts.observe(seen, F.coalesce(F.sum("n0"), F.lit(0)).alias("n0"), F.coalesce(F.sum("n1"), F.lit(0)).alias("n1"))
+    hot = written(watched.filter((F.col("n0") > bound) | (F.col("n1") > bound)).select("key", slices("n0").alias("_ne"), slices("n1").alias("_nk"), "n0", "n1"), "hot")
+    more = hot.agg(F.coalesce(F.sum(F.col("n0") * (F.col("_nk") - 1) + F.col("n1") * (F.col("_ne") - 1)), F.lit(0)).alias("copies"), F.coalesce(F.max("_nk"), F.lit(1)).alias("nk")).first()
+    return hot.drop("n0", "n1"), seen.get["n0"] + seen.get["n1"] + more["copies"], more["nk"] > 1

@@ -2,24 +2,31 @@
 
 Method: parent keys are cut into ranges of equal size; the parents of a range are sorted
 arrays in one task, and the references of that range are probed against them in vectorised
-batches by binary search.  Ranges come from a sketch of the parent keys, so a task's
-arrays are bounded; a range whose references are many (one key can hold a third of all
-rows) is cut further into slices of whole rows, and only its parents are repeated.
+batches by binary search.  Ranges come from a sketch of the parent keys.  A range with more
+parents or references than a task should hold is split by key, as often as its numbers
+say, so that groups are bounded at every size; a single key with more references than that
+(one key can hold a third of all rows) is cut into slices of rows, and only its own parent
+is repeated for them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.util import quantile_bounds, range_key, slices_for
+from millrace.session import written
+from millrace.util import range_key, slices_for
 
 NEVER = np.iinfo(np.int64).max
 PARENTS_PER_RANGE = 250_000
-ROWS_PER_SLICE = 200_000
-MAX_RANGES = 512
+ROWS_PER_GROUP = 200_000
+#: Ranges of a table's keys at most; beyond their size they are split by key.
+RANGES = 256
 
 
 def _us(c: Column) -> Column:
@@ -47,7 +54,7 @@ def parents_from_snapshots(df: DataFrame, key: str, snapshot: str, loaded: str)
 
 
 def _probe(left: pa.Table, right: pa.Table) -> pa.Table:
-    """References (key, at_us, row_id) of a slice against the sorted parents of its range."""
+    """References (t, key, at_us, row_id) of a group, of one table, against the sorted parents of its range."""
     names = right["key"].to_numpy()
     order = np.argsort(names, kind="stable")
     names = names[order]
@@ -68,36 +75,58 @@ def _probe(left: pa.Table, right: pa.Table) -> pa.Table:
     hit = np.flatnonzero(state)
     states = np.array(["", "missing", "late", "deleted"], object)[state[hit]]
     cut = left.take(pa.array(hit))
-    return pa.table({"row_id": cut["row_id"], "at_us": cut["at_us"], "key": cut["key"], "state": pa.array(states, pa.string())})
+    return pa.table({"t": cut["t"], "row_id": cut["row_id"], "at_us": cut["at_us"], "key": cut["key"], "state": pa.array(states, pa.string())})
 
 
 def orphan_rows(
-    refs: DataFrame, key: str, at: str, row_id: str, parents: DataFrame, ref_table: str,
-    parents_per_range: int = PARENTS_PER_RANGE, rows_per_slice: int = ROWS_PER_SLICE,
+    refs: DataFrame, at: str, row_id: str, tables: Mapping[str, tuple[str, DataFrame]],
+    parents_per_range: int = PARENTS_PER_RANGE, rows_per_group: int = ROWS_PER_GROUP,
 ) -> DataFrame:
     """References without a usable parent: ``ref_table, period, row_id, key, state``.
 
-    ``parents`` has ``key, seen_us, gone_us`` with one row per key.  The first state that
-    applies: ``missing`` (no such key), ``late`` (first loaded after the reference),
-    ``deleted`` (gone at or before it).  Null keys refer to nothing and give no row.  A
-    reference without a time can only be ``missing`` and has the period ``''``.  Repeated
-    rows each give a row.  An empty parent table makes every reference missing.
+    ``tables`` gives per referred table the column of ``refs`` that refers to it and its
+    parents, ``key, seen_us, gone_us`` with one row per key; all are probed in one pass.  The
+    first state that applies: ``missing`` (no such key), ``late`` (first loaded after the
+    reference), ``deleted`` (gone at or before it).  Null keys refer to nothing and give no
+    row.  A reference without a time can only be ``missing`` and has the period ``''``.
+    Repeated rows each give a row.  An empty parent table makes every reference missing.
     """
-    r = refs.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("key"), _us(F.col(at)).alias("at_us"), F.col(row_id).cast("bigint").alias("row_id"))
-    n_parents, n_refs = parents.count(), r.count()
-    bounds = quantile_bounds(parents, "key", min(MAX_RANGES, slices_for(n_parents, parents_per_range)))
-    part = range_key(F.col("key"), bounds)
-    # slices of a range by its share of the references: at most MAX_RANGES numbers come to the driver
-    per_range = {row["g"]: row["count"] for row in r.groupBy(part.alias("g")).count().collect()} if bounds else {0: n_refs}
-    slices = [slices_for(per_range.get(i, 0), rows_per_slice) for i in range(len(bounds) + 1)]
-    table = F.array(*[F.lit(s) for s in slices])
-    r = r.withColumn("g", part).withColumn("s", F.pmod(F.xxhash64("row_id"), F.element_at(table, F.col("g") + 1).cast("bigint")).cast("int"))
-    p = parents.withColumn("g", part).withColumn("s", F.explode(F.sequence(F.lit(0), F.element_at(table, F.col("g") + 1) - 1)))
-    n = max(1, sum(slices))
-    r, p = r.repartition(n, "g", "s"), p.repartition(n, "g", "s")
-    found = r.groupBy("g", "s").cogroup(p.groupBy("g", "s")).applyInArrow(_probe, "row_id bigint, at_us bigint, key bigint, state string")
+    p = None
+    for i, (_, parents) in enumerate(tables.values()):
+        x = parents.filter(F.col("key").isNotNull()).select(F.lit(i).alias("t"), F.col("key").cast("bigint").alias("key"), "seen_us", "gone_us")
+        p = x if p is None else p.unionByName(x)
+    p = written(p, "parents")
+    # one sketch per table; of its quantiles as many are taken as there are ranges to make
+    steps = [i / RANGES for i in range(1, RANGES)]
+    sketch = {r["t"]: (r["n"], r["q"]) for r in p.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("key", steps, RANGES * 50).alias("q")).collect()}
+    bounds = []
+    for i in range(len(tables)):
+        n, q = sketch.get(i, (0, []))
+        parts = min(RANGES, slices_for(n, parents_per_range))
+        bounds.append(sorted({q[j * RANGES // parts - 1] for j in range(1, parts)}))
+    first = np.r_[0, np.cumsum([len(b) + 1 for b in bounds])].tolist()
+    part = lambda i, c: range_key(c, bounds[i]) + first[i]
+    whose = lambda c: reduce(lambda e, i: F.when(F.col("t") == i, part(i, c)).otherwise(e), range(len(tables)), F.lit(None).cast("int"))
+    keys = [F.col(k).cast("bigint") for k, _ in tables.values()]
+    links = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), c.alias("key"), part(i, c).alias("g")) for i, c in enumerate(keys)])).alias("l")
+    r = refs.select(_us(F.col(at)).alias("at_us"), F.col(row_id).cast("bigint").alias("row_id"), links).filter("l.key is not null").select("at_us", "row_id", "l.*")
+
+    per_key = written(r.groupBy("t", "g", "key").agg(F.count(F.lit(1)).alias("n")), "references")
+    hot = written(per_key.filter(F.col("n") > rows_per_group).select("t", "key", F.ceil(F.col("n") / rows_per_group).cast("int").alias("_s")), "hot")
+    # of each range the references to keys that are not hot, and the parents: two numbers
+    sizes = per_key.filter(F.col("n") <= rows_per_group).groupBy("g").agg(F.sum("n").alias("refs"), F.lit(0).cast("bigint").alias("parents"))
+    sizes = sizes.unionByName(p.groupBy(whose(F.col("key")).alias("g")).agg(F.lit(0).cast("bigint").alias("refs"), F.count(F.lit(1)).alias("parents")))
+    split = [1] * first[-1]
+    for x in sizes.collect():
+        split[x["g"]] = max(split[x["g"]], slices_for(x["refs"], rows_per_group), slices_for(x["parents"], parents_per_range))
+    h = F.pmod(F.xxhash64("key"), F.element_at(F.array(*[F.lit(n) for n in split]), F.col("g") + 1).cast("bigint")).cast("int")
+    slices = F.coalesce("_s", F.lit(1))
+    r = r.withColumn("h", h).join(hot, ["t", "key"], "left").withColumn("s", F.pmod(F.xxhash64("row_id"), slices.cast("bigint")).cast("int")).drop("_s")
+    p = p.withColumn("g", whose(F.col("key"))).withColumn("h", h).join(hot, ["t", "key"], "left").withColumn("s", F.explode(F.sequence(F.lit(0), slices - 1))).drop("_s")
+    found = r.groupBy("g", "h", "s").cogroup(p.groupBy("g", "h", "s")).applyInArrow(_probe, "t int, row_id bigint, at_us bigint, key bigint, state string")
     period = F.coalesce(F.date_format(F.timestamp_micros("at_us").cast("timestamp_ntz"), "yyyy-MM"), F.lit(""))
-    return found.select(F.lit(ref_table).alias("ref_table"), period.alias("period"), "row_id", "key", "state")
+    name = F.element_at(F.array(*[F.lit(t) for t in tables]), F.col("t") + 1)
+    return found.select(name.alias("ref_table"), period.alias("period"), "row_id", "key", "state")
 
 
 def orphan_report(rows: DataFrame) -> DataFrame:

@@ -35,8 +35,7 @@ def orphan_ratings(spark: SparkSession, sf: str) -> DataFrame:
     ratings = table(spark, sf, "ratings")
     movies = orphans.parents_with_deletion(table(spark, sf, "movies"), "movie_id", "ingestion_timestamp", "deleted_at")
     users = orphans.parents_from_snapshots(table(spark, sf, "users"), "user_id", "snapshot_date", "ingestion_timestamp")
-    m = orphans.orphan_rows(ratings, "movie_id", "ingestion_timestamp", "row_id", movies, "movies")
-    return m.unionByName(orphans.orphan_rows(ratings, "user_id", "ingestion_timestamp", "row_id", users, "users"))
+    return orphans.orphan_rows(ratings, "ingestion_timestamp", "row_id", {"movies": ("movie_id", movies), "users": ("user_id", users)})
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -186,21 +185,22 @@ def p6_readings(spark: SparkSession, sf: str) -> DataFrame:
 # --- 7
 
 
-def admitted_ratings(spark: SparkSession, sf: str) -> DataFrame:
+def arrived_ratings(spark: SparkSession, sf: str) -> DataFrame:
     r = ratings_instants(spark, sf, "row_id", "rating", "ingestion_timestamp")
-    return lateness.admit(r, F.col("utc_us"), F.unix_micros(F.col("ingestion_timestamp").cast("timestamp")))
+    return lateness.arrivals(r, F.col("utc_us"), F.unix_micros(F.col("ingestion_timestamp").cast("timestamp")), "row_id", "rating")
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return admitted_ratings(spark, sf).filter(F.col("verdict") != "on_time").select("row_id", "event_day", "verdict")
+    x = lateness.reordered(arrived_ratings(spark, sf))
+    return x.filter(F.col("verdict") != lateness.ON_TIME).select("row_id", "event_day", "verdict")
 
 
 def p7_daily(spark: SparkSession, sf: str) -> DataFrame:
-    return lateness.ordered_daily(admitted_ratings(spark, sf), "rating", "row_id")
+    return lateness.ordered_daily(arrived_ratings(spark, sf))
 
 
 def p7_revisions(spark: SparkSession, sf: str) -> DataFrame:
-    return lateness.revisions(admitted_ratings(spark, sf), "rating")
+    return lateness.revisions(arrived_ratings(spark, sf))
 
 
 QUERIES: dict[str, Query] = {

@@ -12,42 +12,46 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from millrace.operators.lateness import DAY_US, K_US
+from millrace.operators.lateness import DAY_US, K_US, SlackBuffer
 
 _OUT = "key string, kind string, event_us bigint, row_id bigint, value double, n bigint, rated bigint, total double"
 _STATE = "us array<bigint>, ids array<bigint>, vals array<double>"
 
 
+def _rows(key: str, kind: str, x: dict[str, np.ndarray]) -> pd.DataFrame:
+    values = pd.Series(x["value"]).astype(object).where(~np.isnan(x["value"]), None)
+    return pd.DataFrame({"key": key, "kind": kind, "event_us": x["event_us"], "row_id": x["row_id"], "value": values, "n": None, "rated": None, "total": None}, dtype=object)
+
+
 def _step(k_us: int):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        us, ids, vals = state.get if state.exists else ([], [], [])
-        held, out = list(zip(us, ids, vals, strict=True)), []
         mark = state.getCurrentWatermarkMs()
-        clock = mark * 1000 if mark > 0 else -(2**62)  # 0 is no mark yet
-        for b in batches:
-            for e, a, i, v in zip(b["event_us"], b["arrival_us"], b["row_id"], b["value"], strict=True):
-                clock, v = max(clock, int(a)), None if pd.isna(v) else float(v)
-                if a - e > k_us:
-                    out.append((key[0], "too_late", int(e), int(i), v, None, None, None))
-                else:
-                    held.append((int(e), int(i), v))
-        held.sort(key=lambda x: x[:2])
-        ready = [x for x in held if x[0] + k_us < clock]
-        held = held[len(ready) :]
-        out += [(key[0], "released", *x, None, None, None) for x in ready]
-        rated = [x[2] for x in held if x[2] is not None]
-        out.append((key[0], "provisional", None, None, None, len(held), len(rated), float(sum(rated))))
-        if held:
-            state.update(tuple(list(c) for c in zip(*held, strict=True)))
-            state.setTimeoutTimestamp(max(1, -(-(held[0][0] + k_us) // 1000)))
+        buffer = SlackBuffer(k_us, mark * 1000 if mark > 0 else -(2**62))  # 0 is no mark yet
+        if state.exists:
+            us, ids, vals = state.get
+            values = np.array([np.nan if v is None else v for v in vals], float)
+            buffer.runs.append({"event_us": np.array(us, np.int64), "row_id": np.array(ids, np.int64), "arrival_us": np.array(us, np.int64), "value": values})
+        out, none = [], pd.DataFrame({c: [] for c in ("event_us", "row_id", "arrival_us", "value")})
+        for b in (none, *batches):  # without arrivals, it is the clock that moved
+            rows = {c: b[c].to_numpy(np.float64 if c == "value" else np.int64) for c in SlackBuffer.COLUMNS}
+            released, refused = buffer.push(rows)
+            out += [_rows(key[0], "released", released), _rows(key[0], "too_late", refused)]
+        held = buffer.held()
+        rated = held["value"][~np.isnan(held["value"])]
+        out.append(pd.DataFrame([(key[0], "provisional", None, None, None, len(held["row_id"]), len(rated), float(rated.sum()))], columns=out[0].columns, dtype=object))
+        if len(held["row_id"]):
+            values = [None if np.isnan(v) else v for v in held["value"].tolist()]
+            state.update((held["event_us"].tolist(), held["row_id"].tolist(), values))
+            state.setTimeoutTimestamp(max(1, -(-(int(held["event_us"][0]) + k_us) // 1000)))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")], dtype=object)
+        yield pd.concat([x for x in out if len(x)], ignore_index=True)
 
     return run
 

@@ -7,6 +7,7 @@ import random
 import re
 from zoneinfo import ZoneInfo
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -45,7 +46,7 @@ def test_range_key_is_monotone_and_complete(spark):
 def _orphans(spark, refs, parents, **kw):
     r = spark.createDataFrame(refs, "row_id bigint, k bigint, at timestamp, g int, state string")
     p = spark.createDataFrame(parents, "key bigint, seen_us bigint, gone_us bigint")
-    return sorted((x["row_id"], x["period"], x["state"]) for x in orphans.orphan_rows(r, "k", "at", "row_id", p, "t", **kw).collect())
+    return sorted((x["row_id"], x["period"], x["state"]) for x in orphans.orphan_rows(r, "at", "row_id", {"t": ("k", p)}, **kw).collect())
 
 
 def test_orphan_states_in_order(spark):
@@ -70,7 +71,7 @@ def test_orphans_with_a_hot_key_match_brute_force(spark):
         state = "missing" if k not in known else "late" if s > t else "deleted" if g is not None and g <= t else None
         if state:
             want.append((i, f"{at:%Y-%m}", state))
-    assert _orphans(spark, refs, parents, parents_per_range=20, rows_per_slice=100) == sorted(want)
+    assert _orphans(spark, refs, parents, parents_per_range=20, rows_per_group=100) == sorted(want)
 
 
 def test_parents_from_snapshots(spark):
@@ -103,6 +104,15 @@ def test_quoted_values_round_trip(values):
     assert packed_values.tokenize([packed])[0] == [v.strip() for v in values]
 
 
+def test_brackets_within_a_value_hold_it_together():
+    cases = {
+        "Action (a|b)|Drama": ["Action (a|b)", "Drama"], "x (a|b": ["x (a", "b"], "a)|b": ["a)", "b"], "(a|b]|c)|d": ["(a|b]|c)", "d"], "[a|(b|c)]": ["a", "(b|c)"],
+        "((a|b)|c": ["((a|b)", "c"], '"(a"|b)|c': ["(a", "b)", "c"], "a (b [c|d) e]|f": ["a (b [c|d) e]", "f"], "(a, b), c": ["(a, b)", "c"],
+    }
+    assert packed_values.tokenize(list(cases)) == list(cases.values())
+    assert packed_values.tokenize(["Action (a|b)|Drama"], nested=False) == [["Action (a", "b)", "Drama"]]
+
+
 def test_split_packed_odd_inputs(spark):
     df = spark.createDataFrame([(1, "a|b", "x"), (2, None, "x"), (3, "", None), (1, "a|b", "x"), (4, "|".join(["w"] * 3000), "x")], "row_id bigint, genres string, genre_note string")
     out = packed_values.split_packed(df, "genres", "pos", "genre", keep=["row_id"]).groupBy("row_id").count().collect()
@@ -239,7 +249,7 @@ def test_as_known_matches_brute_force_with_hot_keys(spark):
             want.append((i, *max(c, key=lambda x: x[:3])[3:]))
     e = spark.createDataFrame(events, "row_id bigint, key bigint, at_us bigint").withColumn("plan", F.lit("clash"))
     k = spark.createDataFrame(known, "key bigint, rec_us bigint, valid int, tie bigint, plan string, country string")
-    got = sorted((r["row_id"], r["plan"], r["country"]) for r in asof.as_known(e, k, ["plan", "country"], rows_per_bucket=200, hot_share=0.05).collect())
+    got = sorted((r["row_id"], r["plan"], r["country"]) for r in asof.as_known(e, k, ["plan", "country"], rows_per_bucket=200).collect())
     assert got == sorted(want)
     assert asof.as_known(e.limit(0), k, ["plan", "country"]).count() == 0
     assert asof.as_known(e, k.limit(0), ["plan", "country"]).count() == 0
@@ -322,8 +332,8 @@ def test_parser_keeps_length_on_odd_batches():
 
 def test_admission_bounds(spark):
     rows = [(i, e, e + lag) for i, (e, lag) in enumerate([(0, 0), (0, DAY), (0, DAY + 1), (0, 7 * DAY), (0, 7 * DAY + 1), (5 * DAY, -1)])] + [(9, None, 5), (10, 5, None)]
-    df = spark.createDataFrame(rows, "row_id bigint, e bigint, a bigint").withColumn("state", F.lit("clash"))
-    got = {r["row_id"]: (r["event_day"], r["verdict"]) for r in lateness.admit(df, F.col("e"), F.col("a")).collect()}
+    df = spark.createDataFrame(rows, "row_id bigint, e bigint, a bigint").withColumns({"verdict": F.lit("clash"), "v": F.lit(1), "event_us": F.lit(0)})
+    got = {r["row_id"]: (r["event_day"], r["verdict"]) for r in lateness.reordered(lateness.arrivals(df, F.col("e"), F.col("a"), "row_id", "v")).collect()}
     day = "1970-01-01"
     assert got == {0: (day, "on_time"), 1: (day, "on_time"), 2: (day, "late"), 3: (day, "late"), 4: (day, "too_late"), 5: ("1970-01-06", "on_time")}
 
@@ -332,19 +342,40 @@ def test_ordered_daily_and_revisions_match_brute_force(spark):
     rnd = random.Random(2)
     rows = [(i, (0 if i % 3 == 0 else rnd.randrange(0, 5)) * DAY + rnd.randrange(0, 50), rnd.choice([None, 1.0, 2.0, 3.0, 4.5]), rnd.randrange(0, 9) * DAY) for i in range(900)]
     df = spark.createDataFrame(rows, "row_id bigint, e bigint, rating double, lag bigint")
-    a = lateness.admit(df, F.col("e"), F.col("e") + F.col("lag"))
-    got = {r["event_day"]: r for r in lateness.ordered_daily(a, "rating", "row_id").collect()}
+    a = lateness.arrivals(df, F.col("e"), F.col("e") + F.col("lag"), "row_id", "rating")
+    got = {r["event_day"]: r for r in lateness.ordered_daily(a).collect()}
     for d in range(5):
         x = sorted((e, i, v) for i, e, v, lag in rows if e // DAY == d and lag <= 7 * DAY)
         v = [z for *_, z in x if z is not None]
         r = got[f"1970-01-0{d + 1}"]
         assert (r["n"], r["first_value"], r["last_value"], r["ups"]) == (len(x), v[0], v[-1], sum(q > p for p, q in zip(v, v[1:], strict=False)))
         assert r["avg_value"] == pytest.approx(sum(v) / len(v))
-    rev = lateness.revisions(a, "rating").collect()
+    rev = lateness.revisions(a).collect()
     for r in rev:
         d = int(r["event_day"][-2:]) - 1
         assert r["n"] == sum(e // DAY == d and max(0, -(-lag // DAY) - 1) <= r["lag_day"] and lag <= 7 * DAY for i, e, v, lag in rows)
-    assert lateness.ordered_daily(a.limit(0), "rating", "row_id").count() == 0
+    assert {r["event_day"]: r["n"] for r in rev if r["final"]} == {d: r["n"] for d, r in got.items()}
+    late = lateness.reordered(a).groupBy("verdict").count().collect()
+    assert {r["verdict"]: r["count"] for r in late} == {k: sum(lo < lag <= hi for *_, lag in rows) for k, lo, hi in (("on_time", -1, DAY), ("late", DAY, 7 * DAY), ("too_late", 7 * DAY, 99 * DAY))}
+    none = lateness.arrivals(df.limit(0), F.col("e"), F.col("e"), "row_id", "rating")
+    assert [x.count() for x in (lateness.ordered_daily(none), lateness.revisions(none), lateness.reordered(none))] == [0, 0, 0]
+
+
+def test_the_buffer_releases_in_order_whatever_the_batches():
+    rnd = np.random.default_rng(5)
+    for size in (1, 7, 1000):
+        e = rnd.integers(0, 60 * DAY, 1000)
+        a = np.sort(e + rnd.integers(-DAY, 9 * DAY, 1000))
+        e = rnd.permutation(e)
+        rows = {"event_us": e, "row_id": np.arange(1000), "arrival_us": a, "value": rnd.random(1000)}
+        buffer, out, refused, most = lateness.SlackBuffer(7 * DAY), [], 0, 0
+        for i in range(0, 1000, size):
+            released, no = buffer.push({c: v[i : i + size] for c, v in rows.items()})
+            out += released["event_us"].tolist()
+            refused, most = refused + len(no["row_id"]), max(most, len(buffer.held()["row_id"]))
+            assert (buffer.held()["event_us"] + 7 * DAY >= buffer.clock).all()
+        out += buffer.flush()["event_us"].tolist()
+        assert out == sorted(e[a - e <= 7 * DAY].tolist()) and refused == (a - e > 7 * DAY).sum() and not len(buffer.held()["row_id"])
 
 
 
