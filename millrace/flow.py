@@ -9,11 +9,11 @@ from collections.abc import Callable, Mapping
 from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.quality.rules import Report
+from millrace.sources import store
 
 
 class GateFailed(RuntimeError):
@@ -128,20 +128,23 @@ def quality_gate(reports: Mapping[str, Report]) -> None:
 class RunLog:
     """Task records, failures included: one file per run, so that parallel runs append without meeting."""
 
-    def __init__(self, folder: str | Path) -> None:
-        self.folder = Path(folder)
+    SCHEMA = "task string, status string, attempts int, elapsed_s double, rows bigint, error string, missed_deadline boolean, at string"
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, str(folder)
 
     def add(self, runs: list[TaskRun]) -> None:
-        self.folder.mkdir(parents=True, exist_ok=True)
-        (self.folder / f"{time.time_ns()}.json").write_text(json.dumps([r.__dict__ for r in runs]))
+        store.write_text(self.spark, store.join(self.folder, f"{time.time_ns()}.json"), "\n".join(json.dumps(r.__dict__) for r in runs))
 
     def read(self, last: int | None = None) -> list[dict]:
-        rows = [r for p in sorted(self.folder.glob("*.json")) for r in json.loads(p.read_text())] if self.folder.exists() else []
+        lines = [x for n in store.children(self.spark, self.folder) for x in store.read_text(self.spark, store.join(self.folder, n)).splitlines()]
+        rows = [json.loads(x) for x in lines]
         return rows[-last:] if last else rows
 
-    def as_dataframe(self, spark: SparkSession) -> DataFrame:
-        schema = "task string, status string, attempts int, elapsed_s double, rows bigint, error string, missed_deadline boolean, at string"
-        return spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in self.read()], schema)
+    def as_dataframe(self) -> DataFrame:
+        if not store.children(self.spark, self.folder):
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).json(self.folder)
 
 
 def standard_flow(steps: Mapping[str, Callable[[dict], object]], **options) -> Flow:

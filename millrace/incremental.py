@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable
-from pathlib import Path
+from collections.abc import Callable, Sequence
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.ranking import deduplicate
+from millrace.sources import store
+
 
 def filter_since(df: DataFrame, col: str, mark: str | None) -> DataFrame:
     """Rows strictly after the mark; without a mark all rows, null times included.
@@ -29,35 +32,39 @@ def high_mark(df: DataFrame, col: str) -> str | None:
 
 
 class StateFile:
-    """A small JSON document per key, each its own file: parallel writers of different keys do not meet."""
+    """A small JSON document per key, each its own file, on any file system: parallel writers of different keys do not meet."""
 
-    def __init__(self, folder: str | Path) -> None:
-        self.folder = Path(folder)
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, str(folder)
 
-    def _path(self, key: str) -> Path:
-        return self.folder / f"{key.replace('/', '_')}.json"
+    def _path(self, key: str) -> str:
+        return store.join(self.folder, f"{key.replace('/', '_')}.json")
 
     def get(self, key: str) -> dict:
         p = self._path(key)
-        return json.loads(p.read_text()) if p.exists() else {}
+        return json.loads(store.read_text(self.spark, p)) if store.exists(self.spark, p) else {}
 
     def put(self, key: str, value: dict) -> None:
-        self.folder.mkdir(parents=True, exist_ok=True)
-        tmp = self._path(key).with_suffix(f".{time.time_ns()}.tmp")
-        tmp.write_text(json.dumps(value, indent=1, sort_keys=True))
-        tmp.replace(self._path(key))
+        store.write_text(self.spark, self._path(key), json.dumps(value, sort_keys=True, default=str))
 
     def keys(self) -> list[str]:
-        return sorted(p.stem for p in self.folder.glob("*.json")) if self.folder.exists() else []
+        return [n.removesuffix(".json") for n in store.children(self.spark, self.folder) if n.endswith(".json")]
 
 
 class Watermarks:
-    def __init__(self, folder: str | Path) -> None:
-        self.state = StateFile(folder)
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.state = spark, StateFile(spark, folder)
+
+    def as_dataframe(self) -> DataFrame:
+        rows = [(k, self.get(k)) for k in self.state.keys()]
+        return self.spark.createDataFrame(rows, "table_name string, mark string")
 
     def get(self, table: str) -> str | None:
         return self.state.get(table).get("mark")
 
+    def set(self, table: str, mark: str) -> None:
+        self.state.put(table, {"mark": mark})
+
     def advance(self, table: str, df: DataFrame, col: str) -> str | None:
         """Set the mark to the latest value of ``df``; an empty ``df`` leaves it."""
         m = high_mark(df, col)
@@ -76,8 +83,8 @@ class Watermarks:
 class Checkpoint:
     """Which stages of a run are done, failed or open, and what they left for the next."""
 
-    def __init__(self, folder: str | Path, run_id: str) -> None:
-        self.state, self.run_id = StateFile(folder), run_id
+    def __init__(self, spark: SparkSession, folder: str, run_id: str) -> None:
+        self.spark, self.state, self.run_id = spark, StateFile(spark, folder), run_id
         self.data = self.state.get(run_id) or {"stages": {}, "status": "running"}
 
     def is_done(self, stage: str) -> bool:
@@ -104,6 +111,11 @@ class Checkpoint:
     def status(self) -> dict:
         return {"run_id": self.run_id, **self.data}
 
+    def as_dataframe(self) -> DataFrame:
+        """A row per stage: ``run_id, stage, status, error``."""
+        rows = [(self.run_id, n, x["status"], x.get("error")) for n, x in self.data["stages"].items()]
+        return self.spark.createDataFrame(rows, "run_id string, stage string, status string, error string")
+
 
 def run_stages(checkpoint: Checkpoint, stages: list[tuple[str, Callable]]) -> dict:
     """Run stages in order, skipping those done before.  Each gets the results so far.
@@ -131,11 +143,48 @@ def full_vs_incremental(full: DataFrame, delta: DataFrame, col: str, mark: str)
     return x.withColumn("saved_pct", F.round((1 - F.try_divide(F.col("incremental_rows"), F.col("full_rows"))) * 100, 1))
 
 
-def benchmark(full: Callable[[], int], incremental: Callable[[], int]) -> dict:
-    """Times of both ways; each callable returns the rows it handled.  Only the delta is timed for the second."""
-    t = time.perf_counter()
-    a = full()
-    full_s, t = time.perf_counter() - t, time.perf_counter()
-    b = incremental()
-    inc_s = time.perf_counter() - t
-    return {"full_s": full_s, "incremental_s": inc_s, "full_rows": a, "incremental_rows": b, "speedup": full_s / inc_s if inc_s else None, "saved_pct": round((1 - b / a) * 100, 1) if a else 0.0}
+def append_then_dedupe(table: DataFrame, delta: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The table after a delta: both together, of each key the first row in ``order``."""
+    return deduplicate(table.unionByName(delta, allowMissingColumns=True), keys, order)
+
+
+@dataclass(frozen=True)
+class Comparison:
+    """A full refresh beside an incremental run over the same data."""
+
+    full_s: float
+    incremental_s: float
+    full_rows: int
+    incremental_rows: int
+    full_result: int
+    incremental_result: int
+
+    @property
+    def speedup(self) -> float | None:
+        return self.full_s / self.incremental_s if self.incremental_s else None
+
+    @property
+    def saved_pct(self) -> float:
+        """Of the cost of a full refresh, by the rows that each handles."""
+        return round((1 - self.incremental_rows / self.full_rows) * 100, 1) if self.full_rows else 0.0
+
+    @property
+    def accurate(self) -> bool:
+        """Both lead to as many rows."""
+        return self.full_result == self.incremental_result
+
+    def as_dict(self) -> dict:
+        return {**asdict(self), "speedup": self.speedup, "saved_pct": self.saved_pct, "accurate": self.accurate}
+
+
+def benchmark(full: Callable[[], tuple[int, int]], incremental: Callable[[], tuple[int, int]], save: StateFile | None = None, name: str = "benchmark") -> Comparison:
+    """Times of both ways; each callable returns the rows it handled and the rows of its result.  With ``save`` the record is kept."""
+    took, got = [], []
+    for run in (full, incremental):
+        t = time.perf_counter()
+        got.append(run())
+        took.append(time.perf_counter() - t)
+    c = Comparison(*took, got[0][0], got[1][0], got[0][1], got[1][1])
+    if save:
+        save.put(name, c.as_dict())
+    return c

@@ -1,8 +1,11 @@
 """Problem 3: rows of delimited text that fail to parse.
 
 Method: from the schema one anchored regular expression is generated that a whole good row
-matches; only rows that fail it go on to patterns of ever longer field prefixes, which tell
-the first thing that is broken.  All of it are Catalyst expressions in one pass, no shuffle.
+matches; only rows that fail it go on to patterns of ever longer field prefixes, in two
+series.  Those of structure tell the first field that is not well quoted or not there, and
+so whether quoting or the number of columns is broken; those of values tell the first field
+that cannot be accepted.  The reason is read off where they fail.  All of it are Catalyst
+expressions in one pass, no shuffle.
 """
 
 from __future__ import annotations
@@ -66,9 +69,11 @@ class RowPatterns:
         good = [self._good(f, q) for f in fields]
         head = "(?s)\\A"
         self.row = head + s.join(good) + self.end
-        #: The row is well quoted if it is fields and separators from beginning to end.
-        self.quoting = f"{head}{self.any}(?:{s}{self.any})*+{self.end}"
-        self.columns = head + s.join([self.any] * len(fields)) + self.end
+        #: shape[i]: fields 0..i are well quoted; ends[i]: and nothing follows them.
+        self.shape = [f"{head}{self.any}(?:{s}{self.any}){{{i}}}(?:{s}|{self.end})" for i in range(len(fields))]
+        self.ends = [f"{head}{self.any}(?:{s}{self.any}){{{i}}}{self.end}" for i in range(len(fields))]
+        #: What follows the last field of the schema is well quoted too.
+        self.rest = f"{head}{self.any}(?:{s}{self.any})*+{self.end}"
         #: prefix[i]: fields 0..i are acceptable.
         self.prefix = [head + s.join(good[: i + 1]) + f"(?:{s}|{self.end})" for i in range(len(fields))]
 
@@ -92,19 +97,24 @@ def classify(df: DataFrame, line: str, fields: tuple[Field, ...] = RATING_FIELDS
     these names in ``df`` give way to the operator's.
     """
     p, c = RowPatterns(fields, sep, quote), F.col(line)
+    n = len(fields)
+    misshapen, place = F.lit(n), F.lit(n + 1)
+    for i in range(n - 1, -1, -1):
+        misshapen = F.when(~c.rlike(p.shape[i]), F.lit(i)).otherwise(misshapen)
+        place = F.when(~c.rlike(p.prefix[i]), F.lit(i + 1)).otherwise(place)
+    # a row that ends, well quoted, before the field that is missing is short; one that goes on after all fields is long
+    short = F.lit(False)
+    for i in range(1, n):
+        short = short | ((F.col("_mr_at") == i) & c.rlike(p.ends[i - 1]))
     reason = (
-        F.when(c.isNull(), "column_count")
-        .when(c.rlike(p.row), F.lit(None).cast("string"))
-        .when(~c.rlike(p.quoting), "broken_quoting")
-        .when(~c.rlike(p.columns), "column_count")
-        .otherwise("invalid_value")
+        F.when(F.col("_mr_at") < n, F.when(short, "column_count").otherwise("broken_quoting"))
+        .when(~c.rlike(p.ends[n - 1]), F.when(c.rlike(p.rest), "column_count").otherwise("broken_quoting"))
+        .when(F.col("broken_at") <= n, "invalid_value")
     )
-    x = df.withColumn("reason", reason)
-    place = F.lit(len(fields) + 1)
-    for i in range(len(fields) - 1, -1, -1):
-        place = F.when(~c.rlike(p.prefix[i]), F.lit(i + 1)).otherwise(place)
-    place = F.when(c.isNull(), F.lit(1)).otherwise(place)
-    x = x.withColumn("broken_at", F.when(F.col("reason").isNotNull(), place))
+    bad = c.isNull() | ~c.rlike(p.row)
+    x = df.withColumn("broken_at", F.when(bad, F.when(c.isNull(), F.lit(1)).otherwise(place)))
+    x = x.withColumn("_mr_at", F.when(F.col("broken_at").isNotNull(), misshapen))
+    x = x.withColumn("reason", F.when(c.isNull(), "column_count").when(F.col("broken_at").isNotNull(), reason)).drop("_mr_at")
     return x.withColumn("broken_field", F.get(F.array(*[F.lit(f.name) for f in fields]), F.col("broken_at") - 1))
 
 

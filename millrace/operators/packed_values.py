@@ -64,13 +64,14 @@ def _closes_at(s: str, opening: str, close: str) -> int:
     return -1
 
 
-def tokenize(texts: list[str], nested: bool = False) -> list[list[str]]:
+def tokenize(texts: list[str], nested: bool = True) -> list[list[str]]:
     """The values of each text, in order.
 
     A quotation mark opens only where a value begins, and closes only where nothing but
     blanks stand between it and the next delimiter or the end; doubled or escaped marks
     inside are one mark.  A mark that never closes that way is an ordinary character.
-    With ``nested``, delimiters inside brackets of a value do not count either.
+    With ``nested``, delimiters inside brackets within a value do not count either; brackets
+    that have no partner are ordinary characters.
     """
     out: list[list[str]] = [[] for _ in texts]
     inner = [_strip_brackets(t)[0] for t in texts]
@@ -85,7 +86,22 @@ def tokenize(texts: list[str], nested: bool = False) -> list[list[str]]:
     return out
 
 
-def _run(texts: list[str], where: list[int], out: list[list[str]], nested: bool) -> None:
+def _unpaired(text: str, at: list[int]) -> list[int]:
+    """Of the brackets at the given places those without a partner of their kind."""
+    open_at: list[int] = []
+    alone = []
+    for i in at:
+        if text[i] in BRACKETS:
+            open_at.append(i)
+        elif open_at and BRACKETS[text[open_at[-1]]] == text[i]:
+            open_at.pop()
+        else:
+            alone.append(i)
+    return alone + open_at
+
+
+def _run(texts: list[str], where: list[int], out: list[list[str]], nested: bool, ignored: np.ndarray | None = None) -> None:
+    """Values of the texts to their places in ``out``; ``ignored`` marks brackets that are ordinary characters."""
     n, width = len(texts), max(map(len, texts), default=0)
     if not width:
         return
@@ -98,7 +114,10 @@ def _run(texts: list[str], where: list[int], out: list[list[str]], nested: bool)
         closer[flat == ord(a)] = ord(b)
     opens = np.isin(flat, [ord(c) for c in BRACKETS])
     shuts = np.isin(flat, [ord(c) for c in BRACKETS.values()])
+    if ignored is not None:
+        opens, shuts = opens & ~ignored[:, :width], shuts & ~ignored[:, :width]
     inside = np.arange(width)[None, :] < length[:, None]
+    plain = np.zeros((n, width), bool)  # characters outside quotes
     # the next character that is no blank: a mark closes a value only before a delimiter or the end
     ends = np.ones((n, width + 1), bool)
     for i in range(width - 1, -1, -1):
@@ -146,7 +165,7 @@ def _run(texts: list[str], where: list[int], out: list[list[str]], nested: bool)
             starts &= can
             quote[starts] = closer[starts, i]
             state[starts] = _QUOTED
-        rest = free & ~starts
+        rest = plain[:, i] = free & ~starts
         depth += rest & opens[:, i]
         depth -= rest & shuts[:, i] & (depth > 0)
         stop = rest & is_delim[:, i]
@@ -158,7 +177,14 @@ def _run(texts: list[str], where: list[int], out: list[list[str]], nested: bool)
         text = rest & ~stop & ~is_blank[:, i]
         state[text & (state == _START)] = _PLAIN
         keep[:, i] |= rest & ~stop
-    for r in range(n):
+    again, off = [], np.zeros((n, width), bool) if ignored is None else ignored[:, :width].copy()
+    if nested:
+        brackets = plain & (opens | shuts)
+        for r in np.flatnonzero(brackets.any(1)).tolist():
+            if alone := _unpaired(texts[r], np.flatnonzero(brackets[r]).tolist()):
+                off[r, alone] = True
+                again.append(r)
+    for r in sorted(set(range(n)) - set(again)):
         s, k = texts[r], keep[r]
         values, start = out[where[r]], 0
         for e in [*np.flatnonzero(cut[r]).tolist(), len(s)]:
@@ -166,6 +192,8 @@ def _run(texts: list[str], where: list[int], out: list[list[str]], nested: bool)
             if v:
                 values.append(v)
             start = e + 1
+    if again:  # a bracket fewer each time
+        _run([texts[r] for r in again], [where[r] for r in again], out, nested, off[again])
 
 
 def _split(column: pa.Array) -> pa.Array:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -97,6 +97,11 @@ def detect_changes(old: DataFrame, new: DataFrame, keys: Sequence[str], compare:
     return j.filter(F.col("cdc_operation").isNotNull())
 
 
+def rewrite(df: DataFrame, where: Column, values: Mapping[str, Column]) -> DataFrame:
+    """``df`` with the columns of ``values`` replaced in the rows that meet ``where``; a null condition is not met."""
+    return df.withColumns({c: F.when(where, v.cast(df.schema[c].dataType)).otherwise(F.col(c)) for c, v in values.items()})
+
+
 def changes_by_kind(old: DataFrame, new: DataFrame, keys: Sequence[str], compare: Sequence[str]) -> dict[str, DataFrame]:
     c = detect_changes(old, new, keys, compare)
     return {name: c.filter(F.col("cdc_operation") == op) for name, op in (("inserts", "INSERT"), ("updates", "UPDATE"), ("deletes", "DELETE"))}

@@ -5,20 +5,21 @@ Dates and times come out as text, so that results compare alike in every engine.
 
 from __future__ import annotations
 
-import uuid
+from collections import Counter
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace import incremental
+from millrace import flow, incremental
 from millrace.functions.standard import COUNTRY_CODES, country_code, parsed_date
 from millrace.operators import ranking, upsert
 from millrace.plans import metrics, star
-from millrace.quality import profile, rules
-from millrace.session import shared_dir
-from millrace.sources import files
+from millrace.quality import profile, reports, rules
+from millrace.session import scratch
+from millrace.sources import files, store
 from millrace.streaming import windows
 from millrace.util import table
 
@@ -473,6 +474,132 @@ def full_vs_incremental_counts(spark, sf):
     return incremental.full_vs_incremental(r, r, "ingestion_timestamp", _SPLIT)
 
 
+@query("""WITH d AS (SELECT *, (ingestion_timestamp AT TIME ZONE 'UTC') > TIMESTAMP '{0}' AS past FROM ratings)
+SELECT 'all' AS mark, count(*) AS rows, 0 AS next_rows FROM d UNION ALL SELECT 'split', count(*) FILTER (past), 0 FROM d""".format(_SPLIT))
+def incremental_rows(spark, sf):
+    """Rows that an incremental run takes without a mark and from one, and what the next run finds: nothing."""
+    r, marks, out = table(spark, sf, "ratings").select("ingestion_timestamp"), incremental.Watermarks(spark, scratch(spark, "marks")), []
+    for name, start in (("all", None), ("split", _SPLIT)):
+        if start:
+            marks.set(name, start)
+        out.append((name, marks.consume(name, r, "ingestion_timestamp"), marks.consume(name, r, "ingestion_timestamp")))
+    return spark.createDataFrame(out, "mark string, rows bigint, next_rows bigint")
+
+
+@query(f"""WITH {_RATINGS} SELECT row_id, user_id, movie_id, rating, {_DT.format('rated_at')} FROM sr""")
+def append_then_dedupe(spark, sf):
+    """The table of the first load and the rows that came since, together, one row per key."""
+    r = table(spark, sf, "ratings").filter(F.col("user_id").isNotNull() & F.col("movie_id").isNotNull())
+    cols = ["row_id", "user_id", "movie_id", "rating", parsed_date(F.col("rated_at")).alias("rated_at")]
+    # as it is merged, a row without a load time is part of the first load
+    new = F.coalesce(F.col("ingestion_timestamp") >= F.lit(_SPLIT).cast("timestamp"), F.lit(False))
+    order = [F.col("rated_at").desc_nulls_last(), F.col("row_id").desc()]
+    return incremental.append_then_dedupe(star.clean_ratings(r.filter(~new)).select(*cols[:4], "rated_at"), r.filter(new).select(*cols), ["user_id", "movie_id"], order)
+
+
+@query("""SELECT row_id, CAST(user_id AS BIGINT) AS user_id, CAST(movie_id AS BIGINT) AS movie_id,
+CAST(CASE WHEN rating < 1.0 OR rating > 5.0 THEN least(greatest(rating, 1.0), 5.0) ELSE rating END AS DOUBLE) AS rating FROM ratings""")
+def conditional_rewrite(spark, sf):
+    r = table(spark, sf, "ratings").select("row_id", "user_id", "movie_id", "rating")
+    within = F.least(F.greatest(F.col("rating"), F.lit(1.0)), F.lit(5.0))
+    return upsert.rewrite(r, (F.col("rating") < 1.0) | (F.col("rating") > 5.0), {"rating": within})
+
+
+# --- rule outcomes, records and logs
+
+_OUTCOMES = rules.compile_rules(
+    {"not_null": ["user_id", "rating", "no_such_column"], "range": [{"column": "rating", "min": 1.0, "max": 5.0}, {"column": "no_such_column", "min": 0, "max": 1}], "unique": [["row_id"]], "thresholds": {"min_row_count": 100, "max_null_pct": 50.0}},
+    thresholds=True,
+) + [rules.Rule("column_exists", ("rated_at",)), rules.Rule("column_exists", ("no_such_column",)), rules.Rule("in_set", ("feed_id",), values=("web", "none"))]
+_OUTCOMES_SQL = """c AS (SELECT count(*) AS n, count(*) FILTER (user_id IS NULL) AS u, count(*) FILTER (rating IS NULL) AS r, count(*) FILTER (rating < 1.0 OR rating > 5.0) AS o,
+count(row_id) - count(DISTINCT row_id) AS d, count(*) FILTER (feed_id NOT IN ('web', 'none')) AS f FROM ratings),
+x AS (SELECT unnest([
+{'rule': 'not_null(user_id)', 'bad': u, 'most': 0}, {'rule': 'not_null(rating)', 'bad': r, 'most': 0}, {'rule': 'not_null(no_such_column)', 'bad': 1, 'most': 0},
+{'rule': 'between(rating)', 'bad': o, 'most': 0}, {'rule': 'between(no_such_column)', 'bad': 0, 'most': -1}, {'rule': 'unique(row_id)', 'bad': d, 'most': 0},
+{'rule': 'row_count()', 'bad': CAST(n < 100 AS INT), 'most': 0}, {'rule': 'max_null_pct(user_id)', 'bad': u, 'most': n * 0.5}, {'rule': 'max_null_pct(rating)', 'bad': r, 'most': n * 0.5},
+{'rule': 'max_null_pct(no_such_column)', 'bad': 0, 'most': -1}, {'rule': 'column_exists(rated_at)', 'bad': 0, 'most': 0},
+{'rule': 'column_exists(no_such_column)', 'bad': 1, 'most': 0}, {'rule': 'in_set(feed_id)', 'bad': f, 'most': 0}]) AS s FROM c),
+o AS (SELECT s.rule AS rule, CASE WHEN s.most < 0 THEN 'skipped' WHEN s.bad <= s.most THEN 'passed' ELSE 'failed' END AS status, CAST(s.bad AS BIGINT) AS failed_count FROM x WHERE s.bad >= 0)"""
+
+
+@query(f"WITH {_OUTCOMES_SQL} SELECT * FROM o")
+def suite_outcomes(spark, sf):
+    """Every rule of a suite with its status, those about columns that do not exist included."""
+    return rules.outcomes(table(spark, sf, "ratings"), _OUTCOMES).select("rule", "status", "failed_count")
+
+
+@query(f"""WITH {_OUTCOMES_SQL} SELECT count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped,
+round(CAST(count(*) FILTER (status = 'passed') AS DOUBLE) / count(*) FILTER (status <> 'skipped') * 100, 1) AS success_pct FROM o""")
+def suite_success(spark, sf):
+    return rules.success(rules.outcomes(table(spark, sf, "ratings"), _OUTCOMES))
+
+
+_RECORD_SQL = """SELECT 'ratings' AS table_name, n AS total_rows, b AS null_count, o AS range_count, m AS reference_count, d AS duplicate_count, b + o + m + d AS total_failed, b + o + m + d = 0 AS passed FROM (
+SELECT count(*) AS n, count(*) FILTER (user_id IS NULL) + count(*) FILTER (movie_id IS NULL) AS b, count(*) FILTER (rating < 1.0 OR rating > 5.0) AS o,
+(SELECT count(*) FROM ratings r WHERE NOT EXISTS (SELECT 1 FROM movies x WHERE x.movie_id = r.movie_id)) + (SELECT count(*) FROM ratings r WHERE NOT EXISTS (SELECT 1 FROM users x WHERE x.user_id = r.user_id)) AS m,
+(SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) FROM (SELECT count(*) AS c FROM ratings GROUP BY user_id, movie_id)) AS d FROM ratings)"""
+
+
+@query(_RECORD_SQL)
+def quality_record(spark, sf):
+    parents = [("movie_id", table(spark, sf, "movies"), "movie_id"), ("user_id", table(spark, sf, "users"), "user_id")]
+    return rules.quality_record(table(spark, sf, "ratings"), "ratings", ["user_id", "movie_id"], [("rating", 1.0, 5.0)], parents, ["user_id", "movie_id"])
+
+
+@query(f"SELECT table_name, '2024-01-0' || CAST(i AS VARCHAR) AS check_date, total_rows, duplicate_count, total_failed, passed FROM ({_RECORD_SQL}), range(1, 3) t(i)")
+def metrics_log(spark, sf):
+    """The log of quality records after two checks."""
+    log, record = reports.MetricsLog(spark, scratch(spark, "metrics")), quality_record(spark, sf)
+    for day in (1, 2):
+        log.add(record, date(2024, 1, day))
+    return log.read()
+
+
+@query("""SELECT 'count' AS stage, 'done' AS status, 1 AS runs, (SELECT count(*) FROM ratings) AS result UNION ALL SELECT 'fail once', 'done', 2, (SELECT count(*) FROM movies)
+UNION ALL SELECT 'sum', 'done', 1, (SELECT count(*) FROM ratings) + (SELECT count(*) FROM movies)""")
+def checkpoint_stages(spark, sf):
+    """Stages of a run that fails and is taken up again: those done before are not run twice."""
+    folder, ran = scratch(spark, "checkpoints"), Counter()
+    rows = lambda t: table(spark, sf, t).agg(F.count(F.lit(1))).first()[0]
+
+    def fails_once(_: dict) -> int:
+        if ran["fail once"] == 1:
+            raise RuntimeError("the first time")
+        return rows("movies")
+
+    stages = [("count", lambda _: rows("ratings")), ("fail once", fails_once), ("sum", lambda x: x["count"] + x["fail once"])]
+    counted = [(n, lambda x, n=n, f=f: (ran.update([n]), f(x))[1]) for n, f in stages]
+    for _ in range(2):
+        try:
+            incremental.run_stages(c := incremental.Checkpoint(spark, folder, "run"), counted)
+        except RuntimeError:
+            continue
+    out = [(r["stage"], r["status"], ran[r["stage"]], c.result(r["stage"])) for r in c.as_dataframe().collect()]
+    return spark.createDataFrame(out, "stage string, status string, runs bigint, result bigint")
+
+
+@query("""SELECT * FROM (VALUES ('analytics', 'skipped', 0, CAST(NULL AS BIGINT)), ('clean', 'success', 2, (SELECT count(*) FROM ratings)), ('incremental', 'skipped', 0, NULL), ('ingest_movies', 'success', 1, (SELECT count(*) FROM movies)),
+('ingest_ratings', 'success', 1, (SELECT count(*) FROM ratings)), ('ingest_users', 'success', 1, (SELECT count(*) FROM users)), ('monitoring', 'success', 1, 0), ('quality', 'failed', 1, NULL)) t(task, status, attempts, rows)""")
+def run_log(spark, sf):
+    """The log of a run: a step that fails once is tried again, a quality gate that fails stops what follows but the monitoring."""
+    rows, tried = lambda t: table(spark, sf, t).agg(F.count(F.lit(1))).first()[0], Counter()
+
+    def clean(c: dict) -> int:
+        tried["clean"] += 1
+        if tried["clean"] == 1:
+            raise RuntimeError("the first time")
+        return c["ingest_ratings"]
+
+    def gate(_: dict) -> None:
+        flow.quality_gate({"ratings": rules.run_suite(table(spark, sf, "ratings"), [rules.Rule("column_exists", ("no_such_column",))], "ratings")})
+
+    steps = {f"ingest_{t}": (lambda t: lambda _: rows(t))(t) for t in ("ratings", "movies", "users")}
+    steps |= {"clean": clean, "quality": gate, "analytics": lambda _: 1, "incremental": lambda _: 1, "monitoring": lambda _: 0}
+    log = flow.RunLog(spark, scratch(spark, "runs"))
+    log.add(flow.standard_flow(steps, retry=flow.Retry(1, 0.0)).execute())
+    return log.as_dataframe().select("task", "status", "attempts", "rows")
+
+
 # --- sources and streams
 
 
@@ -491,10 +618,78 @@ def stream_tumbling_daily(spark, sf):
     batch = spark.read.parquet(path)
     # as a glob the source may be one file as well as a folder
     stream = spark.readStream.schema(batch.schema).parquet(path[:-1] + "[t]").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    out = scratch(spark, "stream")
     q = (
-        windows.tumbling(stream, "ts", "value").writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").trigger(availableNow=True)
-        .foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(f"{out}/result")).start()
+        windows.tumbling(stream, "ts", "value").writeStream.outputMode("update").option("checkpointLocation", f"{out}/state").trigger(availableNow=True)
+        .foreachBatch(lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{out}/updates")).start()
     )
     q.awaitTermination()
-    return spark.read.parquet(f"{out}/result").select("window_start", "n", F.round("avg_value", 4).alias("avg_value"))
+    return windows.latest_windows(spark.read.parquet(f"{out}/updates")).select("window_start", "n", F.round("avg_value", 4).alias("avg_value"))
+
+
+def _dropped(spark: SparkSession, sf: str) -> dict[str, str]:
+    """The tables written as files of the three formats, as a source would drop them; ratings without a value are broken lines."""
+    base = scratch(spark, "drop")
+    r = table(spark, sf, "ratings").select("user_id", "movie_id", F.coalesce(F.col("rating").cast("string"), F.lit("none")).alias("rating"), "rated_at")
+    r.write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{base}/ratings")
+    table(spark, sf, "movies").select(*files.MOVIES.fieldNames()).write.option("ignoreNullFields", False).json(f"{base}/movies")
+    table(spark, sf, "users").select(*files.USERS.fieldNames()).write.parquet(f"{base}/users")
+    return {t: f"{base}/{t}" for t in ("ratings", "movies", "users")}
+
+
+_KINDS = {"ratings": files.RATINGS, "movies": files.MOVIES, "users": files.USERS}
+
+
+def _landed(spark: SparkSession, sf: str) -> tuple[files.Landing, dict[str, str]]:
+    base = scratch(spark, "landed")
+    landing = files.Landing(spark, f"{base}/raw", files.Registry(spark, f"{base}/registry"), files.Quarantine(spark, f"{base}/quarantine"))
+    folders = _dropped(spark, sf)
+    for t, folder in folders.items():
+        landing.ingest_directory(folder, "files", t, _KINDS[t])
+    return landing, folders
+
+
+@query("""SELECT 'ratings' AS entity, count(rating) AS rows, count(*) - count(rating) AS bad, 0 AS again FROM ratings
+UNION ALL SELECT 'movies', count(*), 0, 0 FROM movies UNION ALL SELECT 'users', count(*), 0, 0 FROM users""")
+def file_ingest_roundtrip(spark, sf):
+    """Whole tables landed from CSV, JSON and Parquet files: rows landed and set aside, and folders written when the same files come again."""
+    landing, folders = _landed(spark, sf)
+    again = {t: len(landing.ingest_directory(folder, "files", t, _KINDS[t])) for t, folder in folders.items()}
+    entity = F.regexp_extract("out", "/files/([a-z]+)/", 1)
+    x = landing.registry.as_dataframe().groupBy(entity.alias("entity")).agg(F.sum("rows").alias("rows"), F.sum("bad").alias("bad"))
+    return x.join(spark.createDataFrame(list(again.items()), "entity string, again bigint"), "entity")
+
+
+@query("SELECT CAST(user_id AS BIGINT) AS user_id, CAST(movie_id AS BIGINT) AS movie_id, CAST(rating AS DOUBLE) AS rating, nullif(rated_at, '') AS rated_at FROM ratings WHERE rating IS NOT NULL")
+def landed_ratings_csv(spark, sf):
+    x = files.read_landed(spark, _landed(spark, sf)[0].base, "files", "ratings")
+    return x.select("user_id", "movie_id", "rating", F.nullif(F.col("rated_at"), F.lit("")).alias("rated_at"))
+
+
+@query("SELECT CAST(movie_id AS BIGINT) AS movie_id, title, genres, CAST(year AS BIGINT) AS year, language, country FROM movies")
+def landed_movies_json(spark, sf):
+    return files.read_landed(spark, _landed(spark, sf)[0].base, "files", "movies").select(*files.MOVIES.fieldNames())
+
+
+@query("SELECT user_id, signup_date, country, plan FROM users")
+def landed_users_parquet(spark, sf):
+    return files.read_landed(spark, _landed(spark, sf)[0].base, "files", "users").select(*files.USERS.fieldNames())
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS records FROM ratings WHERE rating IS NULL")
+def quarantined_records(spark, sf):
+    """Broken records kept beside the landed ones."""
+    landing = _landed(spark, sf)[0]
+    x = spark.read.option("recursiveFileLookup", True).parquet(landing.quarantine.records)
+    return x.filter(F.col(files.CORRUPT).contains('"none"')).agg(F.count(F.lit(1)).alias("records"))
+
+
+@query("SELECT 'empty.csv' AS file, 'no row could be read' AS reason UNION ALL SELECT 'words.csv', 'no row could be read'")
+def quarantined_files(spark, sf):
+    """Files that cannot be landed, with the reason; the table's own file beside them lands."""
+    base = scratch(spark, "bad-files")
+    for name, text in (("empty.csv", ""), ("words.csv", "\n".join("x,y,z" for _ in range(3)) + "\n")):
+        store.write_text(spark, f"{base}/in/{name}", "user_id,movie_id,rating,rated_at\n" + text)
+    landing = files.Landing(spark, f"{base}/raw", files.Registry(spark, f"{base}/registry"), files.Quarantine(spark, f"{base}/quarantine"))
+    landing.ingest_directory(f"{base}/in", "files", "ratings", files.RATINGS)
+    return landing.quarantine.as_dataframe().select(F.regexp_extract("file", "([^/]+)$", 1).alias("file"), "reason")

@@ -180,3 +180,17 @@ def kpis_all_grains(fact: DataFrame) -> DataFrame:
     grains = [F.struct(F.lit(g).alias("grain"), F.substring("d", 1, n).alias("period")) for g, n in (("year", 4), ("month", 7), ("day", 10))]
     spread = daily.select("user_id", *_SUMS, F.explode(F.array(*grains)).alias("g")).select("user_id", *_SUMS, "g.*")
     return _indicators(_coarser(spread, "grain", "period", "user_id"), "grain", "period")
+
+
+# The order in which results are shown.
+PRESENTATION = {
+    "dim_dates": ["date"], "daily_engagement": ["rating_date"], "top_movies_overall": ["rank"], "top_movies_by_genre": ["genre", "rank_in_genre"],
+    "top_movies_by_month": ["rating_year", "rating_month", "rank_in_month"], "rfm_segmentation": ["-rfm_score", "user_id"], "retention_cohorts": ["cohort_month", "months_since_signup"],
+    "daily_kpis": ["rating_date"], "weekly_kpis": ["year", "week"], "monthly_kpis": ["year", "month"],
+}
+
+
+def presented(name: str, result: DataFrame) -> DataFrame:
+    """A result in the order in which it is shown; results without one stay as they are."""
+    order = [F.col(c[1:]).desc() if c.startswith("-") else F.col(c).asc() for c in PRESENTATION.get(name, [])]
+    return result.orderBy(*order) if order else result

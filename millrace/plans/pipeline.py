@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from pathlib import Path
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +12,8 @@ from millrace import flow, incremental
 from millrace.operators import upsert
 from millrace.plans import metrics, star
 from millrace.quality import profile, reports, rules
-from millrace.sources import files
+from millrace.session import intermediates
+from millrace.sources import files, store
 from millrace.sources.snapshots import SnapshotTable
 
 Inputs = Callable[[str], DataFrame]  # the landed rows of ratings, movies or users
@@ -25,6 +26,7 @@ SUITES: dict[str, list[rules.Rule]] = {
 }
 
 SCHEMAS = {"ratings": files.RATINGS, "movies": files.MOVIES, "users": files.USERS}
+KEYS = {"ratings": ["user_id", "movie_id"], "movies": ["movie_id"], "users": ["user_id"]}
 REFERENCES = {"user_id": "users", "movie_id": "movies"}  # of ratings
 
 
@@ -36,14 +38,17 @@ class Pipeline:
     """
 
     def __init__(
-        self, spark: SparkSession, base: str | Path, inputs: Inputs, top_n: int = 100, landing: files.Landing | None = None, folders: Mapping[str, str] | None = None, source: str = "files"
+        self, spark: SparkSession, base: str, inputs: Inputs, top_n: int = 100, landing: files.Landing | None = None, folders: Mapping[str, str] | None = None, source: str = "files"
     ) -> None:
-        self.spark, self.base, self.inputs, self.top_n = spark, Path(base), inputs, top_n
+        self.spark, self.base, self.inputs, self.top_n = spark, str(base), inputs, top_n
         self.landing, self.folders, self.source = landing, dict(folders or {}) if landing else {}, source
-        self.marks = incremental.Watermarks(self.base / "state" / "marks")
+        self.marks = incremental.Watermarks(spark, self.at("state", "marks"))
+
+    def at(self, *parts: str) -> str:
+        return store.join(self.base, *parts)
 
     def table(self, name: str) -> SnapshotTable:
-        return SnapshotTable(self.spark, self.base / name)
+        return SnapshotTable(self.spark, self.at(name))
 
     def read(self, name: str) -> DataFrame:
         return self.table(name).read()
@@ -60,13 +65,17 @@ class Pipeline:
         return self.spark.read.parquet(*out).count() if out else 0
 
     def clean(self, _: Mapping | None = None) -> int:
-        """Ratings are merged into those kept; movies and users are replaced; genres and enriched ratings follow.
+        """Ratings past the mark are merged into those kept; movies and users are replaced; genres and enriched ratings follow.
+
+        The mark itself is moved by ``incremental``, after all that depends on the ratings.
 
         ``users_snapshots`` keeps every snapshot's row of a user, and ``users_scd2`` the
         history of plan and country over all of them, so that a load that holds new
         snapshots only, or corrects an old one, finds its place.
         """
-        fresh, t = star.clean_ratings(self.inputs("ratings")), self.table("ratings")
+        t = self.table("ratings")
+        landed = incremental.filter_since(self.inputs("ratings"), "ingestion_timestamp", self.marks.get("ratings") if t.exists else None)
+        fresh = star.clean_ratings(landed)
         merged = upsert.merge(t.read(), fresh, ["user_id", "movie_id"], ["rating", "rated_at", "row_id", "ingestion_timestamp"], newer="rated_at") if t.exists else fresh
         n = self._write("ratings", merged)
         self._write("movies", star.clean_movies(self.inputs("movies")))
@@ -86,17 +95,23 @@ class Pipeline:
         """
         suites = rules.run_all({n: self.read(n) for n in SUITES}, SUITES)
         found = suites | {"ratings_references": self.references()} | ({"landing": self.landed()} if self.landing else {})
-        log = reports.MetricsLog(self.spark, self.base / "quality" / "metrics")
-        for name, r in found.items():
-            reports.save_report(r, self.base / "quality")
-            rows = {"ratings_references": "ratings", "landing": None}.get(name, name)
-            log.append(name, self.read(rows).count() if rows else len(self.landing.quarantine.errors()), 0, r.failed, r.ok)
-        (self.base / "quality" / "dashboard.html").write_text(reports.quality_dashboard(found, reports.history(self.base / "quality")))
+        log = reports.MetricsLog(self.spark, self.at("quality", "metrics"))
+        for r in found.values():
+            reports.save_report(self.spark, r, self.at("quality"))
+        log.add(reduce(DataFrame.unionByName, [self.record(n) for n in KEYS]))
+        page = reports.quality_dashboard(found, reports.history(self.spark, self.at("quality")))
+        store.write_text(self.spark, self.at("quality", "dashboard.html"), page)
         if notify:
             reports.notify(found)
         flow.quality_gate(suites)
         return len(suites)
 
+    def record(self, name: str) -> DataFrame:
+        """What is wrong with a clean table, as a row of the metrics log."""
+        parents = [(k, self.read(p), k) for k, p in REFERENCES.items()] if name == "ratings" else []
+        spans = [("rating", 1.0, 5.0)] if name == "ratings" else []
+        return rules.quality_record(self.read(name), name, KEYS[name], spans, parents, KEYS[name])
+
     def references(self) -> rules.Report:
         """Ratings whose user or movie is not among the clean ones."""
         out = []
@@ -120,7 +135,7 @@ class Pipeline:
             "daily_kpis": metrics.daily_kpis(fact), "weekly_kpis": metrics.weekly_kpis(fact), "monthly_kpis": metrics.monthly_kpis(fact),
         }
         for name, df in out.items():
-            self.table(name).write(df)
+            self.table(name).write(metrics.presented(name, df))
         return len(out)
 
     def incremental(self, _: Mapping | None = None) -> int:
@@ -129,11 +144,10 @@ class Pipeline:
 
     def monitoring(self, _: Mapping | None = None) -> int:
         """Profiles of the clean tables as pages."""
-        (self.base / "reports").mkdir(parents=True, exist_ok=True)
         for name in ("ratings", "movies", "users", "enriched_ratings"):
             if self.table(name).exists:
                 t = self.read(name)
-                (self.base / "reports" / f"{name}.html").write_text(reports.profile_report(name, profile.column_profile(t), profile.top_values(t)))
+                store.write_text(self.spark, self.at("reports", f"{name}.html"), reports.profile_report(name, profile.column_profile(t), profile.top_values(t)))
         return 0
 
     def run(self, retry: flow.Retry | None = None) -> list[flow.TaskRun]:
@@ -141,9 +155,9 @@ class Pipeline:
         ingest = lambda name: lambda _: self.ingest(name)
         steps = {f"ingest_{n}": ingest(n) for n in SCHEMAS}
         steps |= {n: getattr(self, n) for n in ("clean", "quality", "analytics", "incremental", "monitoring")}
-        runs = flow.standard_flow(steps, retry=retry).execute()
-        log = flow.RunLog(self.base / "state" / "runs")
+        with intermediates():
+            runs = flow.standard_flow(steps, retry=retry).execute()
+        log = flow.RunLog(self.spark, self.at("state", "runs"))
         log.add(runs)
-        (self.base / "reports").mkdir(parents=True, exist_ok=True)
-        (self.base / "reports" / "monitoring.html").write_text(reports.monitoring_dashboard(log.read()))
+        store.write_text(self.spark, self.at("reports", "monitoring.html"), reports.monitoring_dashboard(log.read()))
         return runs

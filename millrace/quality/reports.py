@@ -6,31 +6,31 @@ import html
 import json
 import os
 import smtplib
+import ssl
 import time
 import urllib.request
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from datetime import UTC, date, datetime
 from email.message import EmailMessage
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.quality.rules import Report
+from millrace.sources import store
 
 
-def save_report(report: Report, folder: str | Path) -> Path:
+def save_report(spark: SparkSession, report: Report, folder: str) -> str:
     """The suite's latest report as JSON, and one more file in its history."""
-    out = Path(folder)
-    (out / "history").mkdir(parents=True, exist_ok=True)
-    text = json.dumps(report.as_dict(), indent=1, default=str)
-    (out / "history" / f"{report.table}-{time.time_ns()}.json").write_text(text)
-    (out / f"{report.table}.json").write_text(text)
-    return out / f"{report.table}.json"
+    text = json.dumps(report.as_dict(), default=str)
+    store.write_text(spark, store.join(folder, "history", f"{time.time_ns()}-{report.table}.json"), text)
+    store.write_text(spark, out := store.join(folder, f"{report.table}.json"), text)
+    return out
 
 
-def history(folder: str | Path, last: int = 20) -> list[dict]:
-    files = sorted((Path(folder) / "history").glob("*.json"), key=lambda p: p.stem.rpartition("-")[2])
-    return [json.loads(p.read_text()) for p in files[-last:]]
+def history(spark: SparkSession, folder: str, last: int = 20) -> list[dict]:
+    names = store.children(spark, store.join(folder, "history"))[-last:]
+    return [json.loads(store.read_text(spark, store.join(folder, "history", n))) for n in names]
 
 
 def html_table(rows: Sequence[Mapping], columns: Sequence[str]) -> str:
@@ -80,16 +80,18 @@ _METRICS = "table_name string, check_date string, total_rows bigint, duplicate_c
 class MetricsLog:
     """Quality metrics, appended as Parquet."""
 
-    def __init__(self, spark: SparkSession, path: str | Path) -> None:
+    def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, str(path)
 
-    def append(self, table_name: str, total_rows: int, duplicates: int, failed: int, passed: bool, day: date | None = None) -> None:
-        row = (table_name, (day or datetime.now(UTC).date()).isoformat(), total_rows, duplicates, failed, passed)
-        self.spark.createDataFrame([row], _METRICS).coalesce(1).write.mode("append").parquet(self.path)
+    def add(self, records: DataFrame, day: date | None = None) -> None:
+        """Append rows of ``rules.quality_record`` under a day, by default today."""
+        x = records.withColumn("check_date", F.lit((day or datetime.now(UTC).date()).isoformat()))
+        cols = [c.split() for c in _METRICS.split(", ")]
+        x.select(*[F.col(c).cast(t).alias(c) for c, t in cols]).coalesce(1).write.mode("append").parquet(self.path)
 
     def read(self) -> DataFrame:
         """All metrics; an empty table of the same columns before the first."""
-        if not Path(self.path).exists():
+        if not store.children(self.spark, self.path):
             return self.spark.createDataFrame([], _METRICS)
         return self.spark.read.schema(_METRICS).parquet(self.path)
 
@@ -100,11 +102,18 @@ def post_json(url: str, payload: dict) -> None:
         pass
 
 
-def send_mail(host: str, port: int, sender: str, to: str, subject: str, text: str) -> None:
+def send_mail(host: str, port: int, sender: str, to: str, subject: str, text: str, user: str = "", password: str = "", tls: bool = False) -> None:
+    """Plain or, with ``tls``, encrypted before anything is said; with a user it logs in, which needs ``tls``."""
+    if user and not tls:
+        raise ValueError("a password is sent over TLS only")
     m = EmailMessage()
     m["From"], m["To"], m["Subject"] = sender, to, subject
     m.set_content(text)
     with smtplib.SMTP(host, port, timeout=10) as s:
+        if tls:
+            s.starttls(context=ssl.create_default_context())
+        if user:
+            s.login(user, password)
         s.send_message(m)
 
 
@@ -127,8 +136,11 @@ def notify(reports: Mapping[str, Report], env: Mapping[str, str] = os.environ, p
             pass
     if (host := env.get("ALERT_SMTP_HOST")) and (to := env.get("ALERT_EMAIL_TO")):
         try:
-            mail(host, int(env.get("ALERT_SMTP_PORT", "25")), env.get("ALERT_EMAIL_FROM", "alerts@localhost"), to, "Data quality", text)
+            # with a password the sender logs in, over TLS
+            sender, password = env.get("ALERT_EMAIL_FROM", "alerts@localhost"), env.get("ALERT_EMAIL_PASSWORD", "")
+            port = int(env.get("ALERT_SMTP_PORT", "587" if password else "25"))
+            mail(host, port, sender, to, "Data quality", text, sender if password else "", password, bool(password))
             told.append("mail")
-        except (OSError, smtplib.SMTPException):
+        except (OSError, ValueError, smtplib.SMTPException):
             pass
     return told

@@ -134,23 +134,61 @@ def measure(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return df.agg(*aggs).select("*", *wide)
 
 
-def run_suite(df: DataFrame, rules: Sequence[Rule], table: str = "") -> Report:
-    row = measure(df, rules).first().asDict()
+def _limit(rule: Rule) -> Column:
+    """How many failures a rule bears."""
+    return F.col("rows") * float(rule.high or 0) / 100 if rule.kind in ("max_null_pct", "max_duplicate_pct") else F.lit(0.0)
+
+
+def outcomes(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """A row per rule: ``place, rule, status, failed_count, rows``, of one aggregate over the table.
+
+    ``failed_count`` is the number of failing rows or keys; of rules about the table as a
+    whole 1 if they fail.
+    """
     cols, out = set(df.columns), []
     for i, r in enumerate(rules):
         status = _expected(r, cols)
         if status is not None:
-            out.append(Outcome(r, status, 0 if status != FAILED else 1, "" if status == PASSED else "missing column"))
-            continue
-        if r.kind == "row_count":
-            n = row["rows"]
-            ok = n >= (r.low or 0) and n <= (MAX_ROWS if r.high is None else r.high)
-            out.append(Outcome(r, PASSED if ok else FAILED, 0 if ok else 1, f"{n} rows"))
-            continue
-        n = row[f"r{i}"]
-        limit = 0 if r.kind not in ("max_null_pct", "max_duplicate_pct") else row["rows"] * (r.high or 0) / 100
-        out.append(Outcome(r, PASSED if n <= limit else FAILED, n))
-    return Report(table, out)
+            state, n = F.lit(status), F.lit(0 if status != FAILED else 1)
+        elif r.kind == "row_count":
+            ok = (F.col("rows") >= (r.low or 0)) & (F.col("rows") <= (MAX_ROWS if r.high is None else r.high))
+            state, n = F.when(ok, PASSED).otherwise(FAILED), F.when(ok, 0).otherwise(1)
+        else:
+            n = F.coalesce(F.col(f"r{i}"), F.lit(0))
+            state = F.when(n <= _limit(r), PASSED).otherwise(FAILED)
+        out.append(F.struct(F.lit(i).alias("place"), F.lit(r.name).alias("rule"), state.alias("status"), n.cast("bigint").alias("failed_count"), F.col("rows").alias("rows")))
+    empty = F.array().cast("array<struct<place:int,rule:string,status:string,failed_count:bigint,rows:bigint>>")
+    return measure(df, rules).select(F.explode(F.array(*out) if out else empty).alias("o")).select("o.*")
+
+
+def success(found: DataFrame) -> DataFrame:
+    """One row: ``passed, failed, skipped, success_pct`` of outcomes; all passed if nothing could be checked."""
+    n = F.count_if(F.col("status") == PASSED) + F.count_if(F.col("status") == FAILED)
+    pct = F.coalesce(F.round(F.try_divide(F.count_if(F.col("status") == PASSED), n) * 100, 1), F.lit(100.0))
+    return found.agg(*[F.count_if(F.col("status") == s).alias(s) for s in (PASSED, FAILED, SKIPPED)], pct.alias("success_pct"))
+
+
+def run_suite(df: DataFrame, rules: Sequence[Rule], table: str = "") -> Report:
+    rows = sorted(outcomes(df, rules).collect(), key=lambda o: o["place"])  # a row per rule
+    why = lambda r, o: "missing column" if o["status"] in (FAILED, SKIPPED) and _expected(r, set(df.columns)) else f"{o['rows']} rows" if r.kind == "row_count" else ""
+    return Report(table, [Outcome(rules[o["place"]], o["status"], o["failed_count"], why(rules[o["place"]], o)) for o in rows])
+
+
+def quality_record(df: DataFrame, table: str, not_null: Sequence[str] = (), ranges: Sequence[tuple[str, float, float]] = (), references: Sequence[tuple[str, DataFrame, str]] = (), keys: Sequence[str] = ()) -> DataFrame:
+    """One row of what is wrong with a table: ``table_name, total_rows, null_count, range_count, reference_count, duplicate_count, total_failed, passed``.
+
+    Counts are of nulls in ``not_null``, values outside ``ranges``, rows whose reference has
+    no parent and rows beyond the first of a key; ``total_failed`` is their sum.
+    """
+    add = lambda cols: reduce(lambda a, b: a + b, cols, F.lit(0).cast("bigint"))
+    x = df.agg(
+        F.count(F.lit(1)).alias("total_rows"), add([F.count_if(F.col(c).isNull()) for c in not_null]).alias("null_count"),
+        add([out_of_range(c, lo, hi) for c, lo, hi in ranges]).alias("range_count"),
+    )
+    missing = [orphan_keys(df, fk, parent, pk).agg(F.count(F.lit(1)).alias("n")).scalar() for fk, parent, pk in references]
+    x = x.withColumns({"reference_count": add(missing), "duplicate_count": duplicate_excess(df, list(keys)).scalar() if keys else F.lit(0).cast("bigint")})
+    total = F.col("null_count") + F.col("range_count") + F.col("reference_count") + F.col("duplicate_count")
+    return x.select(F.lit(table).alias("table_name"), *x.columns, total.alias("total_failed"), (total == 0).alias("passed"))
 
 
 def compile_rules(spec: Mapping, thresholds: bool = False) -> list[Rule]:

@@ -13,6 +13,7 @@ class AlreadyThere(FileExistsError):
 
 
 def _fs(spark: SparkSession, path: str):
+    """The file system of a path, and the path in its terms."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(str(path))
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
@@ -70,6 +71,16 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def head(spark: SparkSession, path: str, size: int) -> bytes:
+    """The first bytes of a file."""
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readNBytes(size))
+    finally:
+        stream.close()
+
+
 def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = True) -> None:
     """A whole small file, never seen half written.
 
@@ -96,6 +107,11 @@ def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = True
         raise
 
 
+def make(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)
+
+
 def copy(spark: SparkSession, source: str, target: str) -> None:
     a, p = _fs(spark, source)
     b, q = _fs(spark, target)

@@ -1,7 +1,9 @@
 """Cleaning, ranking, star schema, metrics, upserts, quality and incremental state."""
 
 import datetime as dt
+import os
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -241,18 +243,23 @@ def test_profile(spark):
 def test_reports_metrics_and_alerts(spark, tmp_path):
     bad = rules.run_suite(_table(spark), [rules.Rule("not_null", ("user_id",))], "t")
     good = rules.run_suite(_table(spark), [rules.Rule("not_null", ("movie_id",))], "g")
-    reports.save_report(bad, tmp_path)
-    page = reports.quality_dashboard({"t": bad, "<g>": good}, reports.history(tmp_path))
+    reports.save_report(spark, bad, tmp_path)
+    page = reports.quality_dashboard({"t": bad, "<g>": good}, reports.history(spark, tmp_path))
     assert "FAIL" in page and "&lt;g&gt;" in page and page.count("class='card'") == 5
     assert "user_id" in reports.profile_report("t", profile.column_profile(_table(spark)), profile.top_values(_table(spark)))
     log = reports.MetricsLog(spark, tmp_path / "m")
     assert log.read().count() == 0
-    log.append("t", 4, 1, 2, False)
-    log.append("g", 4, 0, 0, True)
-    assert log.read().count() == 2
+    log.add(rules.quality_record(_table(spark), "t", ["user_id"], [("rating", 1.0, 5.0)], [("movie_id", _table(spark).limit(0), "movie_id")], ["user_id", "movie_id"]))
+    log.add(rules.quality_record(_table(spark).limit(0), "g", ["user_id"], keys=["user_id"]), dt.date(2024, 1, 1))
+    assert sorted(tuple(r)[2:] for r in log.read().collect()) == [(0, 0, 0, True), (4, 1, 8, False)]  # 1 null, 2 out of range, 4 orphans, 1 repeated
     sent = []
     env = {"ALERT_WEBHOOK_URL": "http://x", "ALERT_SMTP_HOST": "h", "ALERT_EMAIL_TO": "a@b"}
     assert reports.notify({"t": bad}, env, lambda *a: sent.append(a), lambda *a: sent.append(a)) == ["webhook", "mail"] and len(sent) == 2
+    assert sent[1][1] == 25 and sent[1][-1] is False
+    assert reports.notify({"t": bad}, env | {"ALERT_EMAIL_PASSWORD": "p", "ALERT_EMAIL_FROM": "me@b"}, lambda *a: None, lambda *a: sent.append(a)) == ["webhook", "mail"]
+    assert sent[-1][:3] == ("h", 587, "me@b") and sent[-1][-3:] == ("me@b", "p", True)
+    with pytest.raises(ValueError):
+        reports.send_mail("h", 25, "a", "b", "s", "t", "me", "p")
     assert reports.notify({"t": bad}, {}) == [] and reports.notify({"g": good}, env) == []
 
 
@@ -264,14 +271,14 @@ def test_watermark_is_strict_and_pushed_down(spark, tmp_path):
     assert [r["id"] for r in incremental.filter_since(t, "t", "2024-01-01 00:00:00").collect()] == [2]
     assert incremental.filter_since(t, "t", None).count() == 3
     assert [r["id"] for r in incremental.filter_since(t, "d", "2024-01-01").collect()] == [2]
-    w = incremental.Watermarks(tmp_path)
+    w = incremental.Watermarks(spark, tmp_path)
     assert w.get("x") is None and w.advance("x", t, "t") == "2024-01-02 00:00:00"
     assert w.advance("x", t.limit(0), "t") == "2024-01-02 00:00:00"
     plan = incremental.filter_since(catalogue.table(spark, SF, "ratings"), "ingestion_timestamp", "2024-09-01 00:00:00")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(ingestion_timestamp" in plan
 
 
-def test_stages_resume_with_the_same_bounds(tmp_path):
+def test_stages_resume_with_the_same_bounds(spark, tmp_path):
     calls, fail = [], [True]
 
     def bounds(_):
@@ -286,16 +293,48 @@ def test_stages_resume_with_the_same_bounds(tmp_path):
 
     stages = [("bounds", bounds), ("load", load)]
     with pytest.raises(RuntimeError):
-        incremental.run_stages(incremental.Checkpoint(tmp_path, "r1"), stages)
-    assert incremental.Checkpoint(tmp_path, "r1").status()["stages"]["load"]["status"] == "failed"
-    again = incremental.Checkpoint(tmp_path, "r1")
+        incremental.run_stages(incremental.Checkpoint(spark, tmp_path, "r1"), stages)
+    assert incremental.Checkpoint(spark, tmp_path, "r1").status()["stages"]["load"]["status"] == "failed"
+    again = incremental.Checkpoint(spark, tmp_path, "r1")
     assert incremental.run_stages(again, stages) == {"bounds": {"from": "a", "to": "b"}, "load": 3}
     assert calls == ["bounds", ("load", "b"), ("load", "b")] and again.status()["status"] == "complete"
 
 
-def test_benchmark_times_only_the_delta():
-    r = incremental.benchmark(lambda: 10, lambda: 1)
-    assert r["saved_pct"] == 90.0 and r["full_rows"] == 10
+def test_benchmark_compares_cost_and_result(spark, tmp_path):
+    kept = incremental.StateFile(spark, tmp_path)
+    r = incremental.benchmark(lambda: (10, 8), lambda: (1, 8), kept, "nightly")
+    assert r.saved_pct == 90.0 and r.full_rows == 10 and r.accurate and kept.get("nightly")["saved_pct"] == 90.0
+    assert not incremental.benchmark(lambda: (0, 1), lambda: (0, 2)).accurate
+
+
+def test_appended_rows_are_deduplicated(spark):
+    t = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, at int")
+    d = spark.createDataFrame([(1, 2), (3, 1)], "k int, at int")
+    got = incremental.append_then_dedupe(t, d, ["k"], [F.col("at").desc()])
+    assert sorted(got.collect()) == [(1, None, 2), (2, "b", 1), (3, None, 1)]
+
+
+def test_rows_that_meet_a_condition_are_rewritten(spark):
+    t = spark.createDataFrame([(1, 2.0), (2, None)], "k int, v float")
+    assert sorted(upsert.rewrite(t, F.col("v") < 3, {"v": F.col("v") + 0.5}).collect()) == [(1, 2.5), (2, None)]
+
+
+def test_results_are_shown_in_order(spark):
+    t = spark.createDataFrame([(2, 5), (1, 5), (3, 9)], "user_id int, rfm_score int")
+    assert [r["user_id"] for r in metrics.presented("rfm_segmentation", t).collect()] == [3, 1, 2] and metrics.presented("other", t) is t
+
+
+def test_intermediates_are_removed_and_a_cluster_needs_a_shared_folder(spark):
+    from millrace import session
+
+    with session.intermediates():
+        path = session.written(spark.range(3), "t").inputFiles()[0]
+        assert os.path.exists(path.removeprefix("file://"))
+    assert not os.path.exists(path.removeprefix("file://"))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        elsewhere = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master))
+        with pytest.raises(session.NoSharedFolder):
+            session.shared_dir(elsewhere)
 
 
 # --- streaming
@@ -305,9 +344,10 @@ def test_tumbling_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     events.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
-    q = windows.tumbling(stream, "ts", "value").writeStream.outputMode("complete").format("memory").queryName("tumbling").trigger(availableNow=True).start()
+    out = str(tmp_path / "out")
+    q = windows.tumbling(stream, "ts", "value").writeStream.outputMode("update").trigger(availableNow=True).foreachBatch(lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("append").parquet(out)).start()
     q.awaitTermination(60)
-    got = {r["window_start"]: r["n"] for r in spark.table("tumbling").collect()}
+    got = {r["window_start"]: r["n"] for r in windows.latest_windows(spark.read.parquet(out)).collect()}
     assert got == {r["window_start"]: r["n"] for r in windows.tumbling(events, "ts", "value").collect()} and sum(got.values()) == events.count()
 
 

@@ -1,6 +1,7 @@
 """Landing, snapshots and the flow runner."""
 
-import json
+import hashlib
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,18 +14,22 @@ from millrace.streaming.windows import upsert_batches
 
 @pytest.fixture
 def landing(spark, tmp_path):
-    return files.Landing(spark, str(tmp_path / "landed"), files.Registry(tmp_path / "registry"), files.Quarantine(tmp_path / "quarantine"))
+    return files.Landing(spark, str(tmp_path / "landed"), files.Registry(spark, tmp_path / "registry"), files.Quarantine(spark, tmp_path / "quarantine"))
 
 
 def test_every_format_lands_once(landing, spark, tmp_path):
-    s = files.write_samples(str(tmp_path / "in"))
-    spark.createDataFrame([(1, "2024-01-01", "US", "lite"), (2, None, None, None)], files.USERS).write.parquet(str(tmp_path / "in" / "users.parquet"))
+    s = files.write_samples(spark, str(tmp_path / "in"))
     assert landing.ingest(s["ratings"], "web", "ratings", files.RATINGS) and landing.ingest(s["ratings"], "web", "ratings", files.RATINGS) is None
-    assert landing.ingest(s["movies"], "web", "movies", files.MOVIES) and landing.ingest(str(tmp_path / "in" / "users.parquet"), "web", "users", files.USERS)
+    assert landing.ingest(s["movies"], "web", "movies", files.MOVIES) and landing.ingest(s["users"], "web", "users", files.USERS)
     r = files.read_landed(spark, landing.base, "web", "ratings")
     assert r.count() == 200 and set(files.AUDIT) <= set(r.columns)
     assert files.read_landed(spark, landing.base, "web", "movies").count() == 30
-    assert landing.registry.as_dataframe(spark).agg(F.sum("rows")).first()[0] == 232
+    assert files.read_landed(spark, landing.base, "web", "users").count() == 50
+    assert landing.registry.as_dataframe().agg(F.sum("rows")).first()[0] == 280
+    lines = tmp_path / "lines.json"
+    lines.write_text('{"movie_id": 1, "title": "a"}\n{"movie_id": "x"}\n{"movie_id": 2}\n')
+    assert not files.is_json_document(spark, str(lines)) and files.is_json_document(spark, s["movies"])
+    assert spark.read.parquet(landing.ingest(str(lines), "web", "movies", files.MOVIES)).count() == 2
 
 
 def test_bad_files_and_records_are_set_aside(landing, spark, tmp_path):
@@ -32,10 +37,10 @@ def test_bad_files_and_records_are_set_aside(landing, spark, tmp_path):
     p.write_text("user_id,movie_id,rating,rated_at\n1,2,3.5,2024-01-01\nx,2,3.5,2024-01-01\n")
     assert landing.ingest(str(p), "web", "ratings", files.RATINGS)
     assert files.read_landed(spark, landing.base, "web", "ratings").count() == 1
-    assert spark.read.option("recursiveFileLookup", True).parquet(str(landing.quarantine.folder / "records")).count() == 1
+    assert spark.read.option("recursiveFileLookup", True).parquet(landing.quarantine.records).count() == 1
     e = tmp_path / "empty.csv"
     e.write_text("user_id,movie_id,rating,rated_at\n")
-    bad = files.write_samples(str(tmp_path / "s"))["ratings_bad"]
+    bad = files.write_samples(spark, str(tmp_path / "s"))["ratings_bad"]
     assert landing.ingest(str(e), "web", "ratings", files.RATINGS) is None and landing.ingest(bad, "web", "ratings", files.RATINGS) is None
     assert landing.ingest(str(tmp_path / "none.csv"), "web", "ratings", files.RATINGS) is None
     assert len(landing.quarantine.errors()) == 2 and e.exists() and all(x["reason"] for x in landing.quarantine.errors())
@@ -46,9 +51,23 @@ def test_bad_files_and_records_are_set_aside(landing, spark, tmp_path):
 def test_directory_shares_a_run(landing, spark, tmp_path):
     for i in range(3):
         (tmp_path / f"d{i}.csv").write_text(f"user_id,movie_id,rating,rated_at\n{i},2,3.5,x\n")
-    assert len(landing.ingest_directory(str(tmp_path), "web", "ratings", files.RATINGS)) == 3
-    assert files.read_landed(spark, landing.base, "web", "ratings").select("job_run_id").distinct().count() == 1
-    assert files.content_hashes(spark, str(tmp_path / "*.csv")).filter(F.col("hash") == files.content_hash(str(tmp_path / "d0.csv"))).count() == 1
+    (tmp_path / "copy of d0 +1.csv").write_text((tmp_path / "d0.csv").read_text())
+    (tmp_path / "broken.parquet").write_text("no table")
+    assert len(landing.ingest_directory(str(tmp_path), "web", "ratings", files.RATINGS)) == 1
+    landed = files.read_landed(spark, landing.base, "web", "ratings")
+    assert landed.count() == 3 and landed.select("job_run_id").distinct().count() == 1  # the copy's content is known
+    assert {r["source_file_path"].rpartition("/")[2] for r in landed.collect()} == {"copy of d0 +1.csv", "d1.csv", "d2.csv"}
+    assert [e["file"].rpartition("/")[2] for e in landing.quarantine.errors()] == ["broken.parquet"]
+    digest = hashlib.md5((tmp_path / "d1.csv").read_bytes()).hexdigest()
+    assert landing.registry.has(digest) and files.content_hashes(spark, [str(tmp_path / "d1.csv")]).first()["hash"] == digest
+
+
+def test_a_failure_of_the_cluster_is_no_bad_file(landing, spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text("user_id,movie_id,rating,rated_at\n1,2,3.5,x\n")
+    monkeypatch.setattr(files, "add_audit_columns", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError, match="lost"):
+        landing.ingest(str(tmp_path / "a.csv"), "web", "ratings", files.RATINGS)
+    assert landing.quarantine.errors() == []
 
 
 def test_parquet_without_a_column_is_refused(spark, tmp_path):
@@ -69,6 +88,21 @@ def test_snapshots_can_be_computed_from_themselves(spark, tmp_path):
         snapshots.SnapshotTable(spark, tmp_path / "none").read()
 
 
+def test_writers_of_a_table_do_not_lose_each_others_rows(spark, tmp_path):
+    t, other = snapshots.SnapshotTable(spark, tmp_path / "t"), snapshots.SnapshotTable(spark, tmp_path / "t")
+    t.append(spark.range(3))
+    since = other.version
+    t.append(spark.range(3, 5))
+    with pytest.raises(snapshots.Conflict):
+        other.write(other.read(since), since=since)
+    assert t.read().count() == 5 and t.version == 2
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: snapshots.SnapshotTable(spark, tmp_path / "t").append(spark.range(10 * i, 10 * i + 2), keep=20), range(1, 5)))
+    assert t.version == 6 and t.read().count() == 13 and t.read(2).count() == 5
+    t.write(spark.range(1), keep=1)
+    assert t.versions() == [7] and t.read().count() == 1 and len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("v-")]) == 1
+
+
 def test_batches_merge_into_a_snapshot_table(spark, tmp_path):
     t = snapshots.SnapshotTable(spark, tmp_path / "t")
     run = upsert_batches(t, ["k"], ["v", "rated_at"], "rated_at")
@@ -117,11 +151,10 @@ def test_standard_flow_and_log(spark, tmp_path):
     steps = dict.fromkeys(["ingest_ratings", "ingest_movies", "ingest_users", "clean", "quality", "analytics", "incremental", "monitoring"], lambda c: 100)
     f = flow.standard_flow(steps)
     assert f.tasks["clean"].after == ("ingest_ratings", "ingest_movies", "ingest_users") and f.tasks["analytics"].deadline_s == 7 * 3600
-    log = flow.RunLog(tmp_path)
+    log = flow.RunLog(spark, tmp_path)
     log.add(f.execute())
     page = reports.monitoring_dashboard(log.read())
-    assert "800" in page and log.as_dataframe(spark).count() == 8
-    assert json.loads(next(tmp_path.glob("*.json")).read_text())[0]["status"] == "success"
+    assert "800" in page and log.as_dataframe().filter("status = 'success'").count() == 8
 
 
 def test_the_whole_run(spark, tmp_path):
