@@ -109,10 +109,11 @@ class TimestampModel:
         return _with_utc(x.withColumn("reading", reading), zone, date_only).drop(*_WORK)
 
 
-def _regions(spark: SparkSession) -> list[str]:
-    """Names of regions that the JVM knows: what a text may name in brackets."""
-    ids = spark.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds()
-    return sorted(ids)
+def _known(spark: SparkSession, region: str) -> Column:
+    """Whether a text in brackets names a region that the JVM knows.  One expression of text: hundreds of literals are slow to build."""
+    jvm = spark.sparkContext._jvm
+    ids = jvm.java.lang.String.join("', '", jvm.java.time.ZoneId.getAvailableZoneIds())
+    return F.expr(f"{region} IN ('{ids}')")
 
 
 def _with_utc(x: DataFrame, zone: Column, date_only: bool) -> DataFrame:
@@ -122,7 +123,7 @@ def _with_utc(x: DataFrame, zone: Column, date_only: bool) -> DataFrame:
         wall = F.when(reading == name, t[name.lower()]).otherwise(wall)
     x = x.withColumn("_mr_wall", wall)
     wall, region = F.col("_mr_wall"), t["region"]
-    known = region.isin(*_regions(x.sparkSession))
+    known = _known(x.sparkSession, "_mr_t.region")
     at = (
         F.when(reading == "epoch", wall)
         .when(t["off"].isNotNull(), wall - t["off"].cast("bigint") * 60_000_000)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.session import written
-from millrace.util import range_key, slices_for
+from millrace.util import range_key, sketch, slices_for
 
 NEVER = np.iinfo(np.int64).max
 PARENTS_PER_RANGE = 250_000
@@ -97,11 +97,10 @@ def orphan_rows(
         p = x if p is None else p.unionByName(x)
     p = written(p, "parents")
     # one sketch per table; of its quantiles as many are taken as there are ranges to make
-    steps = [i / RANGES for i in range(1, RANGES)]
-    sketch = {r["t"]: (r["n"], r["q"]) for r in p.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("key", steps, RANGES * 50).alias("q")).collect()}
+    quantiles = {r["t"]: (r["n"], r["q"]) for r in p.groupBy("t").agg(F.count(F.lit(1)).alias("n"), sketch("key", RANGES).alias("q")).collect()}
     bounds = []
     for i in range(len(tables)):
-        n, q = sketch.get(i, (0, []))
+        n, q = quantiles.get(i, (0, []))
         parts = min(RANGES, slices_for(n, parents_per_range))
         bounds.append(sorted({q[j * RANGES // parts - 1] for j in range(1, parts)}))
     first = np.r_[0, np.cumsum([len(b) + 1 for b in bounds])].tolist()

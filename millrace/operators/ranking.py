@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.session import written
-from millrace.util import range_key, slices_for
+from millrace.util import range_key, sketch, slices_for
 
 
 def deduplicate(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -40,8 +40,7 @@ ROWS_PER_RANGE = 500_000
 
 def _stats(df: DataFrame, keys: Sequence[str], tie: str, rows_per_range: int) -> tuple[int, dict[str, list]]:
     """Row count and the inner quantiles of each key and of ``tie``, in one aggregate of mergeable sketches."""
-    steps = [i / RANGES for i in range(1, RANGES)]
-    aggs = [F.percentile_approx(F.col(c), steps, RANGES * 50).alias(f"q{i}") for i, c in enumerate([*keys, tie])]
+    aggs = [sketch(c, RANGES).alias(f"q{i}") for i, c in enumerate([*keys, tie])]
     r = df.agg(F.count(F.lit(1)).alias("n"), *aggs).first()
     parts = min(RANGES, slices_for(r["n"], rows_per_range))
     pick = lambda q: [q[j * RANGES // parts - 1] for j in range(1, parts)] if q else []

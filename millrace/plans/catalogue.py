@@ -21,7 +21,7 @@ from millrace.quality import profile, reports, rules
 from millrace.session import scratch
 from millrace.sources import files, store
 from millrace.streaming import windows
-from millrace.util import table
+from millrace.util import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,7 +60,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def ratings(spark: SparkSession, sf: str) -> DataFrame:
-    return star.clean_ratings(table(spark, sf, "ratings"))
+    return star.clean_ratings(spread(table(spark, sf, "ratings")))
 
 
 def movies(spark: SparkSession, sf: str) -> DataFrame:

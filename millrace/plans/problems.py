@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import asof, bad_rows, history, instants, lateness, orphans, packed_values
-from millrace.util import blank_to_null, table
+from millrace.util import blank_to_null, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,7 +25,7 @@ def clean_users(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
 
 
 def ratings_instants(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
-    return instants.with_instants(table(spark, sf, "ratings"), table(spark, sf, "feeds"), "rated_at", keep=list(cols))
+    return instants.with_instants(spread(table(spark, sf, "ratings")), table(spark, sf, "feeds"), "rated_at", keep=list(cols))
 
 
 # --- 1
@@ -172,13 +172,13 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     feeds = table(spark, sf, "feeds")
     parts = [("ratings", "rated_at", False), ("users", "signup_date", True)]
-    x = [instants.with_instants(table(spark, sf, t), feeds, c, dates, keep=["row_id"]).select(F.lit(t).alias("table_name"), "row_id", "utc_us") for t, c, dates in parts]
+    x = [instants.with_instants(spread(table(spark, sf, t)), feeds, c, dates, keep=["row_id"]).select(F.lit(t).alias("table_name"), "row_id", "utc_us") for t, c, dates in parts]
     return x[0].unionByName(x[1]).filter(F.col("utc_us").isNotNull())
 
 
 def p6_readings(spark: SparkSession, sf: str) -> DataFrame:
     """Rows per feed and reading, unreadable and unresolved ones included."""
-    x = instants.with_instants(table(spark, sf, "ratings"), table(spark, sf, "feeds"), "rated_at", keep=["feed_id"])
+    x = instants.with_instants(spread(table(spark, sf, "ratings")), table(spark, sf, "feeds"), "rated_at", keep=["feed_id"])
     return x.groupBy("feed_id", F.coalesce("reading", F.lit("none")).alias("reading")).agg(F.count(F.lit(1)).alias("rows"), F.count("utc_us").alias("values"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,21 +14,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table read from files, over all cores if its files make less than a full split for each.
+
+    A task cannot read less than a row group, so that small tables would be worked on by one
+    or two cores.  Larger ones have splits enough and are left as they are: nothing is shuffled.
+    """
+    spark = df.sparkSession
+    cores, split = spark.sparkContext.defaultParallelism, _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the files, as listed for the scan
+    return df.repartition(cores) if size < cores * split else df
+
+
+def _bytes(text: str) -> int:
+    units = {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40}
+    number, unit = re.fullmatch(r"(\d+)\s*([bkmgt]?)b?", text.strip().lower()).groups()
+    return int(number) << units[unit]
+
+
 def blank_to_null(c: Column) -> Column:
     """Text without surrounding white space; empty becomes null."""
     t = F.regexp_replace(c, r"^[\s ]+|[\s ]+$", "")
     return F.when(t != "", t)
 
 
-def within_bound(df: DataFrame, max_rows: int) -> list | None:
-    """The rows of ``df`` if there are at most ``max_rows``, else None.
-
-    Never moves more than ``max_rows + 1`` rows to the driver.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    return rows if len(rows) <= max_rows else None
-
-
 def range_key(c: Column, bounds: Sequence[int | float]) -> Column:
     """Index of the range of ``c`` among ascending upper bounds: a balanced decision tree.
 
@@ -44,28 +54,10 @@ def range_key(c: Column, bounds: Sequence[int | float]) -> Column:
     return F.when(c.isNotNull(), tree(0, len(bounds)))
 
 
-def quantile_bounds(df: DataFrame, col: str, parts: int, error: float = 0.002) -> list:
-    """At most ``parts - 1`` distinct ascending inner bounds that split ``col`` evenly."""
-    if parts <= 1:
-        return []
-    # a mergeable sketch: executors send at most a few KB each, never rows
-    accuracy = max(100, min(20_000, int(1 / error), parts * 50))
-    qs = df.agg(F.percentile_approx(F.col(col), [i / parts for i in range(1, parts)], accuracy).alias("q")).first()["q"]
-    return sorted(set(qs or []))
+def sketch(col: str, parts: int) -> Column:
+    """The inner quantiles of a column at ``parts`` equal steps, by a mergeable sketch: a few KB of each task."""
+    return F.expr(f"percentile_approx(`{col}`, array({', '.join(f'{i / parts}D' for i in range(1, parts))}), {parts * 50})")
 
 
 def slices_for(rows: int, target: int) -> int:
     return max(1, math.ceil(rows / target))
-
-
-def heavy_keys(df: DataFrame, key: str, total: int, share: float) -> list[tuple]:
-    """Keys that hold at least ``share`` of ``total`` rows, with their counts.
-
-    By arithmetic at most ``1 / share`` keys qualify, so collecting them is bounded
-    whatever the size of the data.
-    """
-    if total == 0:
-        return []
-    floor = max(1, math.ceil(total * share))
-    got = df.groupBy(key).count().filter(F.col("count") >= floor).collect()
-    return [(r[key], r["count"]) for r in got]
