@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from millrace.llm import leakage, lookalike, packing
 from millrace.session import written
-from millrace.util import table
+from millrace.util import spread, table
 
 
 def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.pack(table(spark, sf, "documents"), "doc_id", "text")
+    return packing.pack(spread(table(spark, sf, "documents")), "doc_id", "text")
 
 
 def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
@@ -22,7 +22,7 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _spans(spark: SparkSession, sf: str) -> DataFrame:
-    return leakage.leaked_spans(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "text")
+    return leakage.leaked_spans(spread(table(spark, sf, "documents")), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "text")
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,7 +35,7 @@ def p9_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _canonical(spark: SparkSession, sf: str) -> DataFrame:
-    return lookalike.canonical(table(spark, sf, "documents"), "doc_id", "text")
+    return lookalike.canonical(spread(table(spark, sf, "documents")), "doc_id", "text")
 
 
 def _classes(spark: SparkSession, sf: str) -> DataFrame:
