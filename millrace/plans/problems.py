@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import asof, bad_rows, history, instants, lateness, orphans, packed_values
+from millrace.plans.instants_sql import instants as instants_in_sql
 from millrace.util import blank_to_null, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -196,11 +197,35 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_daily(spark: SparkSession, sf: str) -> DataFrame:
-    return lateness.ordered_daily(arrived_ratings(spark, sf))
+    return lateness.ordered_daily(arrived_ratings(spark, sf)).withColumn("avg_value", F.round("avg_value", 6))
 
 
 def p7_revisions(spark: SparkSession, sf: str) -> DataFrame:
-    return lateness.revisions(arrived_ratings(spark, sf))
+    return lateness.revisions(arrived_ratings(spark, sf)).withColumn("avg_value", F.round("avg_value", 6))
+
+
+# --- 5 to 7 in SQL
+
+_RATED = instants_in_sql("ratings", "row_id", "rated_at", "inst")
+SQL_P5_FOUND = f"""WITH {_RATED}, {_USERS},
+known AS (SELECT user_id, epoch_us(ingestion_timestamp) AS rec, snapshot_date, row_id AS tie, plan, country FROM cu WHERE user_id IS NOT NULL AND ingestion_timestamp IS NOT NULL AND snapshot_date IS NOT NULL)
+SELECT r.row_id, known.plan, known.country FROM ratings r JOIN inst ON k = r.row_id JOIN known ON r.user_id = known.user_id AND rec <= us
+QUALIFY row_number() OVER (PARTITION BY r.row_id ORDER BY snapshot_date DESC, rec DESC, tie DESC) = 1"""
+SQL_P6_FOUND = f"""WITH {_RATED}, {instants_in_sql("users", "row_id", "signup_date", "signed", True)}
+SELECT 'ratings' AS table_name, k AS row_id, us AS utc_us FROM inst UNION ALL SELECT 'users', k, us FROM signed"""
+SQL_P6_READINGS = f"""WITH {_RATED}, x AS (SELECT r.feed_id, i.us, CASE WHEN i.k IS NULL THEN 'none' WHEN regexp_full_match(s, '[0-9]{{8,19}}') THEN CASE WHEN l.k IS NULL THEN 'epoch' ELSE 'packed' END
+WHEN regexp_matches(s, '^[0-9]{{1,4}}/') THEN t.date_order ELSE 'plain' END AS reading FROM ratings r JOIN inst_s t ON t.k = r.row_id LEFT JOIN inst i ON i.k = r.row_id LEFT JOIN inst_l l ON l.k = r.row_id)
+SELECT feed_id, reading, count(*) AS rows, count(us) AS values FROM x GROUP BY ALL"""
+_ARRIVED = f"""{_RATED}, a AS (SELECT row_id, us, epoch_us(ingestion_timestamp) - us AS lag, CAST(rating AS DOUBLE) AS v, strftime(make_timestamp(us), '%Y-%m-%d') AS event_day
+FROM ratings JOIN inst ON k = row_id WHERE ingestion_timestamp IS NOT NULL)"""
+SQL_P7_FOUND = f"""WITH {_ARRIVED} SELECT row_id, event_day, CASE WHEN lag > {lateness.K_US} THEN 'too_late' ELSE 'late' END AS verdict FROM a WHERE lag > {lateness.ON_TIME_US}"""
+SQL_P7_DAILY = f"""WITH {_ARRIVED}, i AS (SELECT * FROM a WHERE lag <= {lateness.K_US}),
+v AS (SELECT *, CAST(v > lag(v) OVER (PARTITION BY event_day ORDER BY us, row_id) AS INT) AS up FROM i WHERE v IS NOT NULL),
+w AS (SELECT event_day, round(avg(v), 6) AS avg_value, first(v ORDER BY us, row_id) AS first_value, last(v ORDER BY us, row_id) AS last_value, CAST(coalesce(sum(up), 0) AS BIGINT) AS ups FROM v GROUP BY 1)
+SELECT event_day, n, avg_value, first_value, last_value, coalesce(ups, 0) AS ups FROM (SELECT event_day, count(*) AS n FROM i GROUP BY 1) LEFT JOIN w USING (event_day)"""
+SQL_P7_REVISIONS = f"""WITH {_ARRIVED}, g AS (SELECT event_day, CAST(greatest(0, ceil(CAST(lag AS DOUBLE) / {lateness.DAY_US}) - 1) AS INT) AS lag_day, count(*) AS n, sum(v) AS total, count(v) AS rated FROM a WHERE lag <= {lateness.K_US} GROUP BY ALL)
+SELECT event_day, lag_day, CAST(sum(n) OVER w AS BIGINT) AS n, round(sum(total) OVER w / nullif(sum(rated) OVER w, 0), 6) AS avg_value, lead(lag_day) OVER (PARTITION BY event_day ORDER BY lag_day) IS NULL OR lag_day >= {lateness.K_US // lateness.DAY_US - 1} AS final
+FROM g WINDOW w AS (PARTITION BY event_day ORDER BY lag_day)"""
 
 
 QUERIES: dict[str, Query] = {
@@ -212,5 +237,6 @@ QUERIES: dict[str, Query] = {
 }
 SQL = {
     "p1_found": SQL_P1_FOUND, "p1_report": SQL_P1_REPORT, "p3_found": SQL_P3_FOUND, "p3_report": SQL_P3_REPORT, "p3_loaded": SQL_P3_LOADED,
-    "p4_found": SQL_P4_FOUND, "p4_changes": SQL_P4_CHANGES,
+    "p4_found": SQL_P4_FOUND, "p4_changes": SQL_P4_CHANGES, "p5_found": SQL_P5_FOUND, "p6_found": SQL_P6_FOUND, "p6_readings": SQL_P6_READINGS, "p7_found": SQL_P7_FOUND, "p7_daily": SQL_P7_DAILY,
+    "p7_revisions": SQL_P7_REVISIONS,
 }
