@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import leakage, lookalike, packing
+from millrace.llm import forms_sql, leakage, lookalike, packing
 from millrace.session import written
 from millrace.util import spread, table
 
@@ -58,5 +58,15 @@ def p10_repairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p8_pack, p8_fill, p9_found, p9_spans, p10_found, p10_classes, p10_repairs)}
-#: None of them can be said in SQL over whole tables; tests/llm holds them against brute force.
-SQL: dict[str, str] = {}
+_N = leakage.MIN_WORDS
+#: Leaks by a join of all runs of words, looks by the shapes of whole texts.  The others hang on the tokenizer or on
+#: the vocabulary; tests/llm holds them against brute force.
+SQL: dict[str, str] = {
+    "p9_found": f"WITH {forms_sql.leaks(_N)} SELECT DISTINCT doc_id, item_id FROM hit",
+    "p9_spans": f"""WITH {forms_sql.leaks(_N)}, s AS (SELECT *, CAST(pos > lag(pos) OVER w + {_N} AS INT) AS fresh FROM hit WINDOW w AS (PARTITION BY doc_id, item_id ORDER BY pos)),
+r AS (SELECT *, sum(coalesce(fresh, 1)) OVER (PARTITION BY doc_id, item_id ORDER BY pos) AS run FROM s)
+SELECT doc_id, item_id, min(pos) AS first_word, max(pos) + {_N - 1} AS last_word FROM r GROUP BY doc_id, item_id, run""",
+    "p10_found": f"WITH {forms_sql.looks()} SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM look a JOIN look b ON a.key = b.key AND a.doc_id < b.doc_id AND a.text <> b.text",
+    "p10_classes": f"""WITH {forms_sql.looks()}, c AS (SELECT key FROM look GROUP BY key HAVING count(DISTINCT text) > 1)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY key) AS look_id, min(doc_id) OVER (PARTITION BY key, text) AS spelling_id FROM look WHERE key IN (SELECT key FROM c)""",
+}
