@@ -75,6 +75,26 @@ def p2_genre_counts(spark: SparkSession, sf: str) -> DataFrame:
     return p2_found(spark, sf).groupBy("genre", "pos").agg(F.count(F.lit(1)).alias("movies"))
 
 
+def _p2_sql() -> str:
+    """Values by one pattern per piece: quoted to a mark that a delimiter or the end follows, else up to the next delimiter."""
+    d = packed_values.DELIMITERS.replace("\t", r"\t").replace("\n", r"\n").replace("\r", r"\r")
+    blank = r"[ \x{a0}\x{3000}]*"
+    quoted = "|".join(rf"{a}(?:\\[{b}\\]|{b}{b}|.)*?{b}{blank}" for a, b in packed_values.QUOTES.items())
+    piece = rf"(?s){blank}({quoted}|[^{d}]*)(?:[{d}]|$)".replace("'", "''")
+    value = "trim(x)"
+    for a, b in packed_values.QUOTES.items():
+        a, b = a.replace("'", "''"), b.replace("'", "''")
+        inner = f"replace(replace(replace(trim(x)[2:-2], '\\{b}', '{b}'), '\\\\', '\\'), '{b}{b}', '{b}')"
+        value = rf"CASE WHEN regexp_full_match(trim(x), '(?s){a}(\\[{b}\\]|{b}{b}|[^{b}])*{b}') THEN trim({inner}) ELSE {value} END"
+    field = r"regexp_replace(genres, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
+    return f"""WITH f AS (SELECT row_id, CASE WHEN g LIKE '[%]' THEN g[2:-2] ELSE g END AS g FROM (SELECT row_id, {field} AS g FROM movies)),
+v AS (SELECT row_id, list_filter(list_transform(regexp_extract_all(g, '{piece}', 1), lambda x: {value}), lambda y: y <> '') AS v FROM f),
+p AS (SELECT row_id, unnest(v) AS genre, generate_subscripts(v, 1) AS pos FROM v)"""
+
+
+SQL_P2_FOUND = f"{_p2_sql()} SELECT row_id, CAST(pos AS INT) AS pos, genre FROM p"
+SQL_P2_COUNTS = f"{_p2_sql()} SELECT genre, CAST(pos AS INT) AS pos, count(*) AS movies FROM p GROUP BY ALL"
+
 # --- 3
 
 
@@ -236,6 +256,7 @@ QUERIES: dict[str, Query] = {
     )
 }
 SQL = {
+    "p2_found": SQL_P2_FOUND, "p2_genre_counts": SQL_P2_COUNTS,
     "p1_found": SQL_P1_FOUND, "p1_report": SQL_P1_REPORT, "p3_found": SQL_P3_FOUND, "p3_report": SQL_P3_REPORT, "p3_loaded": SQL_P3_LOADED,
     "p4_found": SQL_P4_FOUND, "p4_changes": SQL_P4_CHANGES, "p5_found": SQL_P5_FOUND, "p6_found": SQL_P6_FOUND, "p6_readings": SQL_P6_READINGS, "p7_found": SQL_P7_FOUND, "p7_daily": SQL_P7_DAILY,
     "p7_revisions": SQL_P7_REVISIONS,
