@@ -10,6 +10,7 @@ from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -320,25 +321,6 @@ def dq_suite_summary(spark, sf):
     return rules.measure(table(spark, sf, "ratings"), _SUITE)
 
 
-_PROFILE = ["user_id", "movie_id", "rating", "feed_id"]
-
-
-@query(" UNION ALL ".join(
-    f"""SELECT '{c}' AS "column", count(*) FILTER ({c} IS NULL) AS nulls, round(CAST(count(*) FILTER ({c} IS NULL) AS DOUBLE) / count(*) * 100, 1) AS null_pct,
-count(DISTINCT {c}) + CAST(count(*) > count({c}) AS INT) AS distinct_values, CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max,
-{f"round(avg({c}), 3)" if c != "feed_id" else "CAST(NULL AS DOUBLE)"} AS mean, {f"round(stddev_samp({c}), 3)" if c != "feed_id" else "CAST(NULL AS DOUBLE)"} AS stddev FROM ratings"""
-    for c in _PROFILE))
-def column_profile(spark, sf):
-    return profile.column_profile(table(spark, sf, "ratings").select(*_PROFILE))
-
-
-@query(" UNION ALL ".join(
-    f"""SELECT * FROM (SELECT '{c}' AS "column", row_number() OVER (ORDER BY n DESC, v NULLS FIRST) AS rank, v AS value, n FROM
-(SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM ratings GROUP BY 1)) WHERE rank <= 5""" for c in _PROFILE))
-def column_top5(spark, sf):
-    return profile.top_values(table(spark, sf, "ratings").select(*_PROFILE), 5)
-
-
 # whole tables: every column with its kind; times are compared as text in UTC
 _WHOLE = {
     "ratings": {"row_id": "number", "user_id": "number", "movie_id": "number", "rating": "number", "rated_at": "text", "feed_id": "text", "ingestion_timestamp": "time", "source_file_path": "text", "job_run_id": "text"},
@@ -410,48 +392,64 @@ def merge_soft_delete(spark, sf):
     return upsert.merge_with_deletes(_movie_loads(spark, sf, True).drop("is_deleted"), _movie_loads(spark, sf, False), ["movie_id"], "is_deleted", with_action=True)
 
 
-_OLD, _NEW = "2024-06-01", "2024-07-01"
-
-
-def _snapshot(spark, sf, day: str) -> DataFrame:
-    u = table(spark, sf, "users").filter((F.col("snapshot_date") == F.lit(day).cast("date")) & F.col("user_id").isNotNull())
-    last = ranking.deduplicate(u, ["user_id"], [F.col("ingestion_timestamp").desc_nulls_last(), F.col("row_id").desc()])
-    return last.select("user_id", "country", "plan")
-
+def _snapshots(spark, sf) -> DataFrame:
+    """One row per user and snapshot, the one loaded last."""
+    u = table(spark, sf, "users").filter(F.col("user_id").isNotNull() & F.col("snapshot_date").isNotNull())
+    return star.latest_states(u).select("user_id", F.col("snapshot_date").alias("snapshot"), "country", "plan")
 
-def _snapshot_sql(name: str, day: str) -> str:
-    return f"""{name} AS (SELECT user_id, country, plan FROM users WHERE snapshot_date = DATE '{day}' AND user_id IS NOT NULL
- QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ingestion_timestamp DESC NULLS LAST, row_id DESC) = 1)"""
 
-
-_SNAPS = f"{_snapshot_sql('o', _OLD)}, {_snapshot_sql('n', _NEW)}"
+_SNAPS = """n AS (SELECT user_id, snapshot_date AS snapshot, country, plan FROM users WHERE user_id IS NOT NULL AND snapshot_date IS NOT NULL
+ QUALIFY row_number() OVER (PARTITION BY user_id, snapshot_date ORDER BY ingestion_timestamp DESC NULLS LAST, row_id DESC) = 1),
+d AS (SELECT snapshot AS was, lead(snapshot) OVER (ORDER BY snapshot) AS snapshot FROM (SELECT DISTINCT snapshot FROM n)), o AS (SELECT user_id, d.snapshot, country, plan FROM n JOIN d ON n.snapshot = d.was WHERE d.snapshot IS NOT NULL)"""
 _DIFF = "(o.country IS DISTINCT FROM n.country OR o.plan IS DISTINCT FROM n.plan)"
 
 
 def _cdc(kind: str, spark, sf) -> DataFrame:
-    return upsert.changes_by_kind(_snapshot(spark, sf, _OLD), _snapshot(spark, sf, _NEW), ["user_id"], ["country", "plan"])[kind]
+    """Changes of one kind at every snapshot: each user's row beside that of the snapshot before, moved to this one's date."""
+    new = _snapshots(spark, sf)
+    dates = new.select("snapshot").distinct().select(F.col("snapshot").alias("was"), F.lead("snapshot").over(W.orderBy("snapshot")).alias("next"))  # a row per snapshot
+    old = new.join(dates, F.col("snapshot") == F.col("was")).filter(F.col("next").isNotNull()).select("user_id", F.col("next").alias("snapshot"), "country", "plan")
+    return upsert.changes_by_kind(old, new, ["user_id", "snapshot"], ["country", "plan"])[kind]
 
 
 for _kind, _cols, _from in (
-    ("inserts", "n", "n LEFT JOIN o ON n.user_id = o.user_id WHERE o.user_id IS NULL"),
-    ("updates", "n", f"n JOIN o ON n.user_id = o.user_id WHERE {_DIFF}"),
-    ("deletes", "o", "o LEFT JOIN n ON n.user_id = o.user_id WHERE n.user_id IS NULL"),
+    ("inserts", "n", "n LEFT JOIN o ON n.user_id = o.user_id AND n.snapshot = o.snapshot WHERE o.user_id IS NULL"),
+    ("updates", "n", f"n JOIN o ON n.user_id = o.user_id AND n.snapshot = o.snapshot WHERE {_DIFF}"),
+    ("deletes", "o", "o LEFT JOIN n ON n.user_id = o.user_id AND n.snapshot = o.snapshot WHERE n.user_id IS NULL"),
 ):
     QUERIES[f"cdc_{_kind}"] = (lambda k: lambda spark, sf: plain(_cdc(k, spark, sf)))(_kind)
-    SQL[f"cdc_{_kind}"] = f"WITH {_SNAPS} SELECT {_cols}.user_id, {_cols}.country, {_cols}.plan, '{_kind[:-1].upper()}' AS cdc_operation FROM {_from}"
+    SQL[f"cdc_{_kind}"] = f"WITH {_SNAPS} SELECT {_cols}.user_id, strftime({_cols}.snapshot, '%Y-%m-%d') AS snapshot, {_cols}.country, {_cols}.plan, '{_kind[:-1].upper()}' AS cdc_operation FROM {_from}"
+
+_FIRST, _SECOND = "2024-08-31", "2024-09-01"
+
+
+def _user_loads(spark, sf, before: bool) -> DataFrame:
+    """Users as a load found them: of the rows delivered until the split or after it the newest of each."""
+    early = F.coalesce(F.col("ingestion_timestamp") < F.lit(_SPLIT).cast("timestamp"), F.lit(False))
+    u = table(spark, sf, "users").filter(F.col("user_id").isNotNull() & (early == F.lit(before)))
+    order = [F.col("snapshot_date").desc_nulls_last(), F.col("ingestion_timestamp").desc_nulls_last(), F.col("row_id").desc()]
+    return ranking.deduplicate(u, ["user_id"], order).select("user_id", "country", "plan")
+
+
+def _user_loads_sql(name: str, cond: str) -> str:
+    return f"""{name} AS (SELECT user_id, country, plan FROM users WHERE user_id IS NOT NULL AND {cond} coalesce((ingestion_timestamp AT TIME ZONE 'UTC') < TIMESTAMP '{_SPLIT}', false)
+ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY snapshot_date DESC NULLS LAST, ingestion_timestamp DESC NULLS LAST, row_id DESC) = 1)"""
+
+
+_USER_LOADS = f"{_user_loads_sql('o', '')}, {_user_loads_sql('n', 'NOT')}"
 
 
-@query(f"WITH {_snapshot_sql('o', _OLD)} SELECT user_id, country, plan, '{_OLD} 00:00:00' AS scd_start_date, CAST(NULL AS VARCHAR) AS scd_end_date, true AS is_current FROM o")
+@query(f"""WITH {_USERS} SELECT user_id, country, plan, '{_FIRST} 00:00:00' AS scd_start_date, CAST(NULL AS VARCHAR) AS scd_end_date, true AS is_current FROM su""")
 def scd2_first_load(spark, sf):
-    return upsert.scd2_first_load(_snapshot(spark, sf, _OLD), F.lit(_OLD))
+    return upsert.scd2_first_load(users(spark, sf).select("user_id", "country", "plan"), F.lit(_FIRST))
 
 
-@query(f"""WITH {_SNAPS} SELECT o.user_id, o.country, o.plan, '{_OLD} 00:00:00' AS scd_start_date, CASE WHEN n.user_id IS NOT NULL AND {_DIFF} THEN '{_NEW} 00:00:00' END AS scd_end_date,
+@query(f"""WITH {_USER_LOADS} SELECT o.user_id, o.country, o.plan, '{_FIRST} 00:00:00' AS scd_start_date, CASE WHEN n.user_id IS NOT NULL AND {_DIFF} THEN '{_SECOND} 00:00:00' END AS scd_end_date,
 NOT (n.user_id IS NOT NULL AND {_DIFF}) AS is_current FROM o LEFT JOIN n ON o.user_id = n.user_id
-UNION ALL SELECT n.user_id, n.country, n.plan, '{_NEW} 00:00:00', CAST(NULL AS VARCHAR), true FROM n LEFT JOIN o ON o.user_id = n.user_id WHERE o.user_id IS NULL OR {_DIFF}""")
+UNION ALL SELECT n.user_id, n.country, n.plan, '{_SECOND} 00:00:00', CAST(NULL AS VARCHAR), true FROM n LEFT JOIN o ON o.user_id = n.user_id WHERE o.user_id IS NULL OR {_DIFF}""")
 def scd2_second_load(spark, sf):
-    first = upsert.scd2_first_load(_snapshot(spark, sf, _OLD), F.lit(_OLD))
-    return upsert.apply_scd2(first, _snapshot(spark, sf, _NEW), "user_id", ["country", "plan"], F.lit(_NEW))
+    first = upsert.scd2_first_load(_user_loads(spark, sf, True), F.lit(_FIRST))
+    return upsert.apply_scd2(first, _user_loads(spark, sf, False), "user_id", ["country", "plan"], F.lit(_SECOND))
 
 
 # --- incremental
