@@ -389,3 +389,35 @@ def test_kslack_releases_by_the_clock_of_all_arrivals(spark, tmp_path):
     assert out.filter("kind = 'provisional' AND n > rated").count() > 0
     left = kslack.flush(spark, cp)
     assert [(r["row_id"], r["value"], r["kind"]) for r in left.collect()] == [(4, 4.0, "released")] and left.columns == out.columns
+
+
+def test_the_stream_agrees_with_the_batch(spark, tmp_path):
+    from millrace.operators import lateness
+    from millrace.operators.lateness import DAY_US
+    from millrace.streaming import kslack
+
+    rnd, rows = random.Random(8), []
+    for i in range(600):
+        e = i * DAY_US // 10 + rnd.randrange(DAY_US // 10)
+        rows.append((i, rnd.choice([None, 1.0, 2.5]), e, e + rnd.choice([0, DAY_US // 2, 3 * DAY_US, 9 * DAY_US])))
+    rows.sort(key=lambda r: r[3])
+    schema = "row_id bigint, value double, event_us bigint, arrival_us bigint"
+    src, cp = tmp_path / "in", str(tmp_path / "state")
+    src.mkdir()
+    for n, part in enumerate((rows[:300], rows[300:500], rows[500:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(src / f"b{n}"))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(src))
+        q = kslack.reorder(stream, slices=2).writeStream.outputMode("update").option("checkpointLocation", cp).trigger(availableNow=True).foreachBatch(lambda b, _: b.write.mode("append").parquet(str(tmp_path / "out"))).start()
+        assert q.awaitTermination(180)
+    out, left = spark.read.parquet(str(tmp_path / "out")), kslack.flush(spark, cp)
+    clock = max(r[3] for r in rows)
+    # of sixty ordinary days only the last K wait, and no state is kept of the others
+    assert {r["row_id"] for r in left.collect()} == {i for i, _, e, a in rows if a - e <= 7 * DAY_US and e + 7 * DAY_US >= clock}
+    arrived = lateness.arrivals(spark.createDataFrame(rows, schema), F.col("event_us"), F.col("arrival_us"), "row_id", "value")
+    daily = {r["event_day"]: (r["n"], r["avg_value"]) for r in lateness.ordered_daily(arrived).collect()}
+    stream_daily = out.filter("kind = 'released'").select("event_us", "value").unionByName(left.select("event_us", "value"))
+    got = {r["d"]: (r["n"], r["a"]) for r in stream_daily.groupBy(lateness.day_text(F.col("event_us")).alias("d")).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("a")).collect()}
+    assert got == {d: (n, pytest.approx(a)) for d, (n, a) in daily.items()}
+    assert got == {r["event_day"]: (r["n"], pytest.approx(r["avg_value"])) for r in lateness.revisions(arrived).filter("final").collect()}
+    refused = {r["row_id"] for r in lateness.reordered(arrived).filter("verdict = 'too_late'").collect()}
+    assert {r["row_id"] for r in out.filter("kind = 'too_late'").collect()} == refused
